@@ -3,7 +3,7 @@
 A signature has 32 symbols of 16 bits in 8 chunks of 4.  Two signatures that differ in at most 15 symbols have,
 by pigeonhole, a chunk that differs in at most one, so they share a key (chunk, place left out, the three other
 symbols): enumerating the place left out finds every pair within distance 15.  Pairs that share a key at
-distance 16 to 20 are looked at too.  A pair of similarity 0.8 shares no key with probability 1.1e-6.
+distance 16 are looked at too, which a pair of similarity 0.8 exceeds with probability 4e-5.
 
 Every candidate link is confirmed on the full shingle sets of whole texts.  Texts with equal sets are one node,
 so copies are never paired.  Inside a key, rounds of leaders link members to a few of them, and only pairs that
@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 from gridbrook.llm.shared import components, drop, save
 
-CHUNKS, WIDTH, MAX_DISTANCE, LEADERS, ROUNDS = 8, 4, 20, 3, 5
+CHUNKS, WIDTH, MAX_DISTANCE, LEADERS, ROUNDS = 8, 4, 16, 4, 2
 SIG = [f"s{i}" for i in range(CHUNKS)]
 _ODD = np.random.default_rng(20240611).integers(1, 2**63, CHUNKS * WIDTH, dtype=np.uint64) | np.uint64(1)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -106,6 +106,16 @@ def _distance(a: str, b: str):
     return F.expr(" + ".join(parts))
 
 
+def _first_shared(a: str, b: str):
+    """The first key that two signatures share, so that a pair of a key's members is made once, not once a key."""
+    parts = []
+    for i, c in enumerate(SIG):
+        for p in range(WIDTH):
+            mask = int(np.uint64(2**64 - 1 - (0xFFFF << 16 * p)).view(np.int64))
+            parts.append(f"when (({a}.{c} ^ {b}.{c}) & {mask}L) = 0 then {i * WIDTH + p}")
+    return F.expr("case " + " ".join(parts) + " end")
+
+
 def _near(a: str, b: str, percent: int):
     sizes = F.expr(f"least({a}.n, {b}.n) * 100 >= {percent} * greatest({a}.n, {b}.n)")
     return sizes & (_distance(a, b) <= MAX_DISTANCE)
@@ -154,30 +164,29 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
         one = save(rows.groupBy("doc_id").agg(F.min(F.struct(*keys, "n", *SIG)).alias("x")).select("doc_id", "x.*"), "once")
     nodes = save(one.where("n > 0").groupBy(*keys).agg(F.min("doc_id").alias("node"), *(F.min(c).alias(c) for c in ["n", *SIG])), "nodes")
 
+    # keys with equal members say the same: one of them stays
     exploded = nodes.select("node", F.explode(F.array(*_keys())).alias("x")).select("node", "x.j", "x.k")
-    shared = exploded.groupBy("j", "k").agg(F.count(F.lit(1)).alias("g")).where("g > 1").drop("g")
-    members = save(exploded.join(shared, ["j", "k"]).join(nodes.select("node", "n", *SIG), "node"), "members")
+    groups = exploded.groupBy("j", "k").agg(F.count(F.lit(1)).alias("g"), F.bit_xor(F.xxhash64("node")).alias("m1"), F.sum(F.xxhash64("node", F.lit(1)).bitwiseAND((1 << 40) - 1)).alias("m2")).where("g > 1")
+    kept = groups.groupBy("g", "m1", "m2").agg(F.min(F.struct("j", "k")).alias("x")).select("x.j", "x.k")
+    members = save(exploded.join(kept, ["j", "k"]), "members")
     texts = docs.selectExpr("cast(doc_id as long) node", "text").join(members.select("node").distinct(), "node", "left_semi")
     texts = save(_text_of_node(texts, nodes, shingle_words) if repeats else texts, "texts")
 
     links = labels = None
     for r in range(ROUNDS):
         now = _labelled(members, labels)
-        best = [F.expr(f"min(struct(xxhash64(node, {r * LEADERS + s}) as h, node, c, n, {', '.join(SIG)}))").alias(f"l{s}") for s in range(LEADERS)]
+        best = [F.expr(f"min(struct(xxhash64(node, {r * LEADERS + s}) as h, node, c))").alias(f"l{s}") for s in range(LEADERS)]
         told = now.groupBy("j", "k").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), *best).where("c0 <> c1")
-        some = f"array_distinct(transform(array({', '.join(f'l{s}' for s in range(LEADERS))}), x -> struct(x.node, x.c, x.n, {', '.join(f'x.{c}' for c in SIG)})))"
-        leaders = told.select("j", "k", F.explode(F.expr(some)).alias("x")).select("j", "k", "x.*")
-        pairs = leaders.alias("a").join(now.alias("b"), F.expr("a.j = b.j and a.k = b.k and a.c <> b.c") & _near("a", "b", percent))
-        links, labels, new = _linked(_ends(pairs), texts, links, labels, shingle_words, percent)
-        squares = F.expr("cast(g as decimal(38,0)) * g")
-        groups = _labelled(members, labels).groupBy("j", "k", "c").agg(F.count(F.lit(1)).alias("g"))
-        apart = groups.groupBy("j", "k").agg(F.sum("g").alias("g"), F.sum(squares).alias("within")).agg(F.sum(squares - F.col("within")), F.sum("g")).first()
-        if not new or (apart[0] or 0) <= 8 * (apart[1] or 0):
+        some = f"array_distinct(transform(array({', '.join(f'l{s}' for s in range(LEADERS))}), x -> struct(x.node, x.c)))"
+        leaders = told.select("j", "k", F.explode(F.expr(some)).alias("x")).select("j", "k", F.col("x.node").alias("a"), F.col("x.c").alias("ca"))
+        pairs = leaders.join(now, ["j", "k"]).where("ca <> c").select("a", F.col("node").alias("b")).distinct()
+        links, labels, new = _linked(_close(pairs, nodes, percent), texts, links, labels, shingle_words, percent)
+        if not new:
             break
     now = _labelled(members, labels)
     mixed = now.groupBy("j", "k").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("j", "k")
-    rest = now.join(mixed, ["j", "k"])
-    pairs = rest.alias("a").join(rest.alias("b"), F.expr("a.j = b.j and a.k = b.k and a.node < b.node and a.c <> b.c") & _near("a", "b", percent))
+    rest = now.join(mixed, ["j", "k"]).join(nodes.select("node", "n", *SIG), "node")
+    pairs = rest.alias("a").join(rest.alias("b"), F.expr("a.j = b.j and a.k = b.k and a.node < b.node and a.c <> b.c") & _near("a", "b", percent) & (_first_shared("a", "b") == F.col("a.j")))
     links, labels, _ = _linked(_ends(pairs), texts, links, labels, shingle_words, percent)
 
     found = nodes.select(*keys, "node", F.lit(None).cast("long").alias("component")) if labels is None else nodes.select(*keys, "node").join(labels, "node", "left")
@@ -199,6 +208,13 @@ def _keys() -> list:
     return out
 
 
+def _close(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and signatures allow a link."""
+    sig = nodes.select("node", "n", *SIG)
+    found = pairs.join(sig.alias("sa"), F.expr("a = sa.node")).join(sig.alias("sb"), F.expr("b = sb.node")).where(_near("sa", "sb", percent))
+    return found.select("a", "b")
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.expr("a.node").alias("a"), F.expr("b.node").alias("b")).distinct()
 
