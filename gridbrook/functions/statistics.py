@@ -199,21 +199,25 @@ def spaef(df: DataFrame, x: str, y: str, mask: str | None = None, histogram_mask
     return head.crossJoin(overlap).select((1 - F.sqrt(F.pow(F.col("r") - 1, 2) + F.pow(b - 1, 2) + F.pow(F.col("g") - 1, 2))).alias("spaef"))
 
 
-def percentile(values: Column, k: float, mode: int = 1) -> Column:
-    """k-th percentile of a group by one of eight rules for its place in the sorted values."""
-    n = F.count(values)
-    p = k / 100
+def percentiles(df: DataFrame, by: list[str], x: str, k: float, mode: int = 1) -> DataFrame:
+    """k-th percentile of each group by one of eight rules for its place among the sorted values.
+
+    Equal values are counted first and places found by a running count, so no group is held in memory.
+    """
+    counts = df.where(F.col(x).isNotNull()).groupBy(*by, F.col(x).alias("__x")).agg(F.count(F.lit(1)).alias("__c"))
+    up = Window.partitionBy(*by).orderBy("__x")
+    rows = counts.withColumn("__to", F.sum("__c").over(up)).withColumn("__n", F.sum("__c").over(Window.partitionBy(*by)))
+    n, p = F.col("__n"), k / 100
     if mode == 1:
-        return F.percentile(values, F.lit(0.0)) if p <= 0 else F.expr("null") if values is None else _at(values, F.greatest(F.lit(1), F.ceil(n * p - 1e-9)))
-    place = {2: n * p, 3: F.round(n * p), 4: 0.5 + n * p, 5: p * (n + 1), 6: (n - 1) * p + 1, 7: 1 / 3 + p * (n + 1 / 3), 8: 3 / 8 + p * (n + 1 / 4)}[mode]
+        place = F.ceil(n * F.lit(p) - 1e-9).cast("double")
+    else:
+        place = {2: n * p, 3: F.round(n * p), 4: 0.5 + n * p, 5: (n + 1) * p, 6: (n - 1) * p + 1, 7: 1 / 3 + (n + 1 / 3) * p, 8: 3 / 8 + (n + 1 / 4) * p}[mode]
     low = F.least(n, F.greatest(F.lit(1), F.floor(place)))
     high = F.least(n, F.greatest(F.lit(1), F.ceil(place)))
-    a, b = _at(values, low), _at(values, high)
-    return F.when(low == high, a).otherwise(a + (b - a) * (place - low))
-
-
-def _at(values: Column, place: Column) -> Column:
-    return F.element_at(F.sort_array(F.collect_list(values)), place.cast("int"))
+    to, start = F.col("__to"), F.col("__to") - F.col("__c")
+    held = lambda at: F.max(F.when((start < at) & (at <= to), F.col("__x")))
+    out = rows.groupBy(*by).agg(held(low).alias("__a"), held(high).alias("__b"), F.max(place - low).alias("__w"), F.max((low == high).cast("int")).alias("__same"))
+    return out.select(*by, F.when(F.col("__same") == 1, F.col("__a")).otherwise(F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__w")).alias("percentile"))
 
 
 def linfit(x, y, model2: bool = False):
