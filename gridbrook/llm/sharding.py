@@ -31,32 +31,36 @@ def assign(loads: list[tuple[int, int, int]], shards: int) -> dict[int, int]:
 
 
 def rebalance(loads: list[tuple[int, int, int]], old: dict[int, int], shards: int) -> dict[int, int]:
-    """The map edited for ``shards`` shards: slots move only from shards above the mean to those below it.
+    """The map edited for ``shards`` shards; all other slots stay where they are.
 
-    A grown map moves slots only as long as that brings both shards nearer to the mean; the rest stays where it is.
+    Slots of shards that were taken away go to the emptiest shards.  Then, as long as it brings the two nearer to
+    each other, a slot of the fullest shard moves to the emptiest; where shards were added, only to those.
     """
     size = {s: b for s, b, _ in loads}
-    new = {s: old.get(s, 0) for s in size}
-    held: dict[int, list[int]] = {k: [] for k in range(shards)}
-    total = dict.fromkeys(range(shards), 0)
-    for s, k in new.items():
-        if k >= shards:
-            continue
-        held[k].append(s)
-        total[k] += size[s]
-    mean = sum(size.values()) / shards
-    homeless = [s for s, k in new.items() if k >= shards]  # a shard was taken away
-    for k in held:
-        held[k].sort(key=lambda s: (size[s], s))
-        while held[k] and total[k] - size[held[k][-1]] >= mean:
-            s = held[k].pop()
-            total[k] -= size[s]
-            homeless.append(s)
-    for s in sorted(homeless, key=lambda s: (-size[s], s)):
-        k = min(total, key=lambda k: (total[k], k))
+    new = {s: old[s] for s in size}
+    total, held = dict.fromkeys(range(shards), 0), {k: set() for k in range(shards)}
+
+    def put(s, k):
         new[s] = k
         total[k] += size[s]
-    return new
+        held[k].add(s)
+
+    for s, k in new.items():
+        if k < shards:
+            put(s, k)
+    for s in sorted((s for s, k in new.items() if k >= shards), key=lambda s: (-size[s], s)):
+        put(s, min(total, key=lambda k: (total[k], k)))
+    added = [k for k in range(shards) if k > max(old.values(), default=-1)] or list(range(shards))
+    while True:
+        a, b = max(total, key=lambda k: (total[k], -k)), min(added, key=lambda k: (total[k], k))
+        gap = total[a] - total[b]
+        fit = [s for s in held[a] if 0 < size[s] < gap]
+        if not fit:
+            return new
+        s = min(fit, key=lambda s: (abs(gap / 2 - size[s]), s))
+        held[a].remove(s)
+        total[a] -= size[s]
+        put(s, b)
 
 
 def slot_map(loads: list[tuple[int, int, int]], shards: dict[int, int], version: int) -> list[tuple]:
