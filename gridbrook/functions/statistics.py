@@ -63,7 +63,8 @@ def central_moment_variance(df: DataFrame, by: list[str], x: str, r: int) -> Dat
     n = df.groupBy(*by).agg(F.count(x).alias("n"))
     c = lambda k: F.lit(1.0) if k == 0 else F.lit(0.0) if k == 1 else F.col(f"m{k}")
     value = (c(2 * r) - c(r) * c(r) + r * r * c(r - 1) * c(r - 1) * c(2) - 2 * r * c(r + 1) * c(r - 1)) / F.col("n")
-    return m.join(n, by).select(*by, value.alias("value"))
+    rows = m.join(n, by) if by else m.crossJoin(F.broadcast(n))
+    return rows.select(*by, value.alias("value"))
 
 
 def mixed_moment(df: DataFrame, by: list[str], x: str, y: str, r: int, s: int) -> DataFrame:

@@ -36,13 +36,13 @@ def _r(c, digits: int = 4):
 
 
 def _cells(spark, d):
-    """A masked grid out of lineitem: mean price by part and supplier."""
+    """A masked grid out of lineitem: prices by part and supplier."""
     own = _t(spark, d, "lineitem").select((F.col("l_partkey") % 64 + 1).cast("int").alias("i"), (F.col("l_suppkey") % 48 + 1).cast("int").alias("j"), "l_extendedprice", "l_quantity")
-    return own.where("(i * 7 + j * 3) % 5 <> 0").groupBy("i", "j").agg(F.avg("l_extendedprice").alias("value"), (F.sum("l_quantity").cast("long") % 5).cast("int").alias("klass"))
+    return own.where("(i * 7 + j * 3) % 5 <> 0").groupBy("i", "j").agg((F.sum("l_extendedprice") / 7.0).alias("value"), (F.sum("l_quantity").cast("long") % 5).cast("int").alias("klass"))
 
 
 CELLS = """cells AS (
-  SELECT i, j, avg(l_extendedprice) AS value, (sum(l_quantity)::BIGINT % 5)::INTEGER AS klass FROM (
+  SELECT i, j, sum(l_extendedprice) / 7.0 AS value, (sum(l_quantity)::BIGINT % 5)::INTEGER AS klass FROM (
     SELECT (l_partkey % 64 + 1)::INTEGER AS i, (l_suppkey % 48 + 1)::INTEGER AS j, l_extendedprice, l_quantity FROM lineitem
   ) WHERE (i * 7 + j * 3) % 5 <> 0 GROUP BY i, j
 ), f AS (
