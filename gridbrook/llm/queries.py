@@ -80,7 +80,7 @@ NEAR_DUP_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
 ), s AS (
-  SELECT doc_id, CASE WHEN len(ws) >= 2 THEN list_distinct(list_transform(list_zip(ws[:-2], ws[2:]), p -> p[1] || ' ' || p[2]))
+  SELECT doc_id, CASE WHEN len(ws) >= 2 THEN list_distinct(list_transform(list_zip(ws[:-2], ws[2:]), lambda p: p[1] || ' ' || p[2]))
                       WHEN len(ws) = 1 THEN ws ELSE [] END AS sh FROM w
 ), n AS (SELECT doc_id, len(sh) AS n FROM s),
 e AS (SELECT doc_id, unnest(sh) AS x FROM s),
@@ -100,8 +100,8 @@ FROM n JOIN reach r ON r.root = n.doc_id GROUP BY n.doc_id, n.n
 
 TOP_K_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(x::DOUBLE * 64)) AS x FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.x, c.x)::BIGINT AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
