@@ -3,7 +3,8 @@
 A signature has 32 symbols of 16 bits in 8 chunks of 4.  Two signatures that differ in at most 15 symbols have,
 by pigeonhole, a chunk that differs in at most one, so they share a key (chunk, place left out, the three other
 symbols): enumerating the place left out finds every pair within distance 15.  Pairs that share a key at
-distance 16 are looked at too, which a pair of similarity 0.8 exceeds with probability 4e-5.
+distance 16 are looked at too, which a pair of similarity 0.8 exceeds with probability 4e-5.  A longer sketch of
+256 minima then sets aside most candidates of similarity under 0.7 before their texts are read.
 
 Every candidate link is confirmed on the full shingle sets of whole texts.  Texts with equal sets are one node,
 so copies are never paired.  Inside a key, rounds of leaders link members to a few of them, and only pairs that
@@ -25,8 +26,12 @@ from pyspark.sql.window import Window
 from gridbrook.llm.shared import components, drop, save
 
 CHUNKS, WIDTH, MAX_DISTANCE, LEADERS, ROUNDS = 8, 4, 16, 4, 2
-SIG = [f"s{i}" for i in range(CHUNKS)]
-_ODD = np.random.default_rng(20240611).integers(1, 2**63, CHUNKS * WIDTH, dtype=np.uint64) | np.uint64(1)
+#: The longer sketch: so many minima, two bits each; a pair of similarity 0.8 differs in more than the limit with probability 1e-5.
+MINIMA, SKETCH_DISTANCE = 256, 64
+SKETCH = [f"t{i}" for i in range(MINIMA // 32)]
+SIG = [f"s{i}" for i in range(CHUNKS)] + SKETCH
+_ODD = np.random.default_rng(20240611).integers(1, 2**63, MINIMA, dtype=np.uint64) | np.uint64(1)
+_PAIR = np.arange(0, 64, 2, dtype=np.uint64)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -71,12 +76,15 @@ def shingle_hashes(text: str | None, size: int, known: _Hashes) -> np.ndarray:
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """CHUNKS integers of WIDTH 16-bit symbols each."""
-    low = np.full(CHUNKS * WIDTH, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 4096):
-        low = np.minimum(low, (hashes[at : at + 4096][:, None] * _ODD).min(axis=0))
-    symbols = (_mix(low) & np.uint64(0xFFFF)).reshape(CHUNKS, WIDTH)
-    return sum(symbols[:, p] << np.uint64(16 * p) for p in range(WIDTH)).view(np.int64)
+    """CHUNKS integers of WIDTH 16-bit symbols each, then the sketch: two bits of each of MINIMA minima."""
+    low = np.full(MINIMA, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 512):
+        low = np.minimum(low, (hashes[at : at + 512][:, None] * _ODD).min(axis=0))
+    low = _mix(low)
+    symbols = (low[: CHUNKS * WIDTH] & np.uint64(0xFFFF)).reshape(CHUNKS, WIDTH)
+    chunks = sum(symbols[:, p] << np.uint64(16 * p) for p in range(WIDTH))
+    pairs = ((low >> np.uint64(40)) & np.uint64(3)).reshape(len(SKETCH), 32) << _PAIR
+    return np.concatenate([chunks, np.bitwise_or.reduce(pairs, axis=1)]).view(np.int64)
 
 
 def describe(docs: DataFrame, shingle_words: int) -> DataFrame:
@@ -92,7 +100,7 @@ def describe(docs: DataFrame, shingle_words: int) -> DataFrame:
                 f.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
                 s.append(signature(h))
             f = np.frombuffer(b"".join(f), np.int64).reshape(-1, 2)
-            s = np.array(s, np.int64).reshape(-1, CHUNKS)
+            s = np.array(s, np.int64).reshape(-1, len(SIG))
             cols = {"doc_id": batch.column(0), "n": pa.array(n, pa.int64()), "f1": pa.array(f[:, 0].copy()), "f2": pa.array(f[:, 1].copy())}
             yield pa.RecordBatch.from_pydict(cols | {c: pa.array(s[:, i].copy()) for i, c in enumerate(SIG)})
 
@@ -102,14 +110,14 @@ def describe(docs: DataFrame, shingle_words: int) -> DataFrame:
 
 def _distance(a: str, b: str):
     """Symbols in which two signatures differ."""
-    parts = [f"if(((({a}.{c} ^ {b}.{c}) >>> {16 * p}) & 65535) = 0, 0, 1)" for c in SIG for p in range(WIDTH)]
+    parts = [f"if(((({a}.{c} ^ {b}.{c}) >>> {16 * p}) & 65535) = 0, 0, 1)" for c in SIG[:CHUNKS] for p in range(WIDTH)]
     return F.expr(" + ".join(parts))
 
 
 def _first_shared(a: str, b: str):
     """The first key that two signatures share, so that a pair of a key's members is made once, not once a key."""
     parts = []
-    for i, c in enumerate(SIG):
+    for i, c in enumerate(SIG[:CHUNKS]):
         for p in range(WIDTH):
             mask = int(np.uint64(2**64 - 1 - (0xFFFF << 16 * p)).view(np.int64))
             parts.append(f"when (({a}.{c} ^ {b}.{c}) & {mask}L) = 0 then {i * WIDTH + p}")
@@ -118,7 +126,8 @@ def _first_shared(a: str, b: str):
 
 def _near(a: str, b: str, percent: int):
     sizes = F.expr(f"least({a}.n, {b}.n) * 100 >= {percent} * greatest({a}.n, {b}.n)")
-    return sizes & (_distance(a, b) <= MAX_DISTANCE)
+    differ = " + ".join(f"bit_count((({a}.{c} ^ {b}.{c}) | (({a}.{c} ^ {b}.{c}) >>> 1)) & {0x5555555555555555}L)" for c in SKETCH)
+    return sizes & F.expr(f"{differ} <= {SKETCH_DISTANCE}") & (_distance(a, b) <= MAX_DISTANCE)
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
@@ -201,7 +210,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
 def _keys() -> list:
     """(chunk and place left out, the other symbols of the chunk) for each chunk and place."""
     out = []
-    for i, c in enumerate(SIG):
+    for i, c in enumerate(SIG[:CHUNKS]):
         for p in range(WIDTH):
             mask = int(np.uint64(2**64 - 1 - (0xFFFF << 16 * p)).view(np.int64))
             out.append(F.struct(F.lit(i * WIDTH + p).alias("j"), F.col(c).bitwiseAND(F.lit(mask).cast("long")).alias("k")))
