@@ -1,6 +1,6 @@
 """Near-duplicate detection: b-bit MinHash signatures and a multi-index Hamming join.
 
-A signature has 32 symbols of 16 bits in 8 chunks of 4.  Two signatures that differ in at most 15 symbols have,
+A signature has 32 symbols in 8 chunks of 4, the last of a chunk of 14 bits and the others of 15.  Two signatures that differ in at most 15 symbols have,
 by pigeonhole, a chunk that differs in at most one, so they share a key (chunk, place left out, the three other
 symbols): enumerating the place left out finds every pair within distance 15.  Pairs that share a key at
 distance 16 are looked at too, which a pair of similarity 0.8 exceeds with probability 4e-5.  A longer sketch of
@@ -32,6 +32,8 @@ SKETCH = [f"t{i}" for i in range(MINIMA // 32)]
 SIG = [f"s{i}" for i in range(CHUNKS)] + SKETCH
 _ODD = np.random.default_rng(20240611).integers(1, 2**63, MINIMA, dtype=np.uint64) | np.uint64(1)
 _PAIR = np.arange(0, 64, 2, dtype=np.uint64)
+#: Bits of the symbols of a chunk; one bit a lane stays free, and the sign.
+_LANES = np.array([0x7FFF] * (WIDTH - 1) + [0x3FFF], np.uint64)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -76,12 +78,12 @@ def shingle_hashes(text: str | None, size: int, known: _Hashes) -> np.ndarray:
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """CHUNKS integers of WIDTH 16-bit symbols each, then the sketch: two bits of each of MINIMA minima."""
+    """CHUNKS integers of WIDTH symbols each, then the sketch: two bits of each of MINIMA minima."""
     low = np.full(MINIMA, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), 512):
         low = np.minimum(low, (hashes[at : at + 512][:, None] * _ODD).min(axis=0))
     low = _mix(low)
-    symbols = (low[: CHUNKS * WIDTH] & np.uint64(0xFFFF)).reshape(CHUNKS, WIDTH)
+    symbols = low[: CHUNKS * WIDTH].reshape(CHUNKS, WIDTH) & _LANES
     chunks = sum(symbols[:, p] << np.uint64(16 * p) for p in range(WIDTH))
     pairs = ((low >> np.uint64(40)) & np.uint64(3)).reshape(len(SKETCH), 32) << _PAIR
     return np.concatenate([chunks, np.bitwise_or.reduce(pairs, axis=1)]).view(np.int64)
@@ -108,26 +110,25 @@ def describe(docs: DataFrame, shingle_words: int) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").where("doc_id is not null").mapInArrow(run, schema)
 
 
-def _distance(a: str, b: str):
-    """Symbols in which two signatures differ."""
-    parts = [f"if(((({a}.{c} ^ {b}.{c}) >>> {16 * p}) & 65535) = 0, 0, 1)" for c in SIG[:CHUNKS] for p in range(WIDTH)]
-    return F.expr(" + ".join(parts))
+def _differ(c: str) -> str:
+    """Symbols of chunk ``c`` in which a and b differ: adding these masks carries into a lane's spare bit unless it is 0."""
+    return f"bit_count(((a.{c} ^ b.{c}) + {0x3FFF7FFF7FFF7FFF}L) & {0x4000800080008000}L)"
 
 
-def _first_shared(a: str, b: str):
-    """The first key that two signatures share, so that a pair of a key's members is made once, not once a key."""
-    parts = []
-    for i, c in enumerate(SIG[:CHUNKS]):
-        for p in range(WIDTH):
-            mask = int(np.uint64(2**64 - 1 - (0xFFFF << 16 * p)).view(np.int64))
-            parts.append(f"when (({a}.{c} ^ {b}.{c}) & {mask}L) = 0 then {i * WIDTH + p}")
-    return F.expr("case " + " ".join(parts) + " end")
+def _first_shared():
+    """Whether the join's key is the first that a and b share, so that a pair is made once, not once a key.
+
+    They share a key of a chunk if they differ in at most one of its symbols, and all four if in none.
+    """
+    earlier = " or ".join(f"(a.j >= {(i + 1) * WIDTH} and {_differ(c)} <= 1)" for i, c in enumerate(SIG[:CHUNKS]) if i < CHUNKS - 1)
+    return F.expr(f"(a.j % {WIDTH} = 0 or a.own <> b.own) and not ({earlier})")
 
 
-def _near(a: str, b: str, percent: int):
-    sizes = F.expr(f"least({a}.n, {b}.n) * 100 >= {percent} * greatest({a}.n, {b}.n)")
-    differ = " + ".join(f"bit_count((({a}.{c} ^ {b}.{c}) | (({a}.{c} ^ {b}.{c}) >>> 1)) & {0x5555555555555555}L)" for c in SKETCH)
-    return sizes & F.expr(f"{differ} <= {SKETCH_DISTANCE}") & (_distance(a, b) <= MAX_DISTANCE)
+def _near(percent: int):
+    """Whether sizes, sketches and signatures of a and b allow a link; short enough for the JVM's compiler to take the join's loop."""
+    sizes = F.expr(f"least(a.n, b.n) * 100 >= {percent} * greatest(a.n, b.n)")
+    differ = " + ".join(f"bit_count(((a.{c} ^ b.{c}) | ((a.{c} ^ b.{c}) >>> 1)) & {0x5555555555555555}L)" for c in SKETCH)
+    return sizes & F.expr(f"{differ} <= {SKETCH_DISTANCE}") & F.expr(f"{' + '.join(map(_differ, SIG[:CHUNKS]))} <= {MAX_DISTANCE}")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
@@ -194,8 +195,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
             break
     now = _labelled(members, labels)
     mixed = now.groupBy("j", "k").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("j", "k")
-    rest = now.join(mixed, ["j", "k"]).join(nodes.select("node", "n", *SIG), "node")
-    pairs = rest.alias("a").join(rest.alias("b"), F.expr("a.j = b.j and a.k = b.k and a.node < b.node and a.c <> b.c") & _near("a", "b", percent) & (_first_shared("a", "b") == F.col("a.j")))
+    own = F.element_at(F.array(*SIG[:CHUNKS]), F.expr(f"cast(j div {WIDTH} + 1 as int)"))
+    rest = now.join(mixed, ["j", "k"]).join(nodes.select("node", "n", *SIG), "node").withColumn("own", own)
+    pairs = rest.alias("a").join(rest.alias("b"), F.expr("a.j = b.j and a.k = b.k and a.node < b.node and a.c <> b.c") & _near(percent) & _first_shared())
     links, labels, _ = _linked(_ends(pairs), texts, links, labels, shingle_words, percent)
 
     found = nodes.select(*keys, "node", F.lit(None).cast("long").alias("component")) if labels is None else nodes.select(*keys, "node").join(labels, "node", "left")
@@ -220,8 +222,9 @@ def _keys() -> list:
 def _close(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sizes and signatures allow a link."""
     sig = nodes.select("node", "n", *SIG)
-    found = pairs.join(sig.alias("sa"), F.expr("a = sa.node")).join(sig.alias("sb"), F.expr("b = sb.node")).where(_near("sa", "sb", percent))
-    return found.select("a", "b")
+    ends = pairs.select(F.col("a").alias("one"), F.col("b").alias("two"))
+    found = ends.join(sig.alias("a"), F.expr("one = a.node")).join(sig.alias("b"), F.expr("two = b.node")).where(_near(percent))
+    return found.select(F.col("one").alias("a"), F.col("two").alias("b"))
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
