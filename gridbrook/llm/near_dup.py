@@ -37,6 +37,10 @@ _LANES = np.array([0x7FFF] * (WIDTH - 1) + [0x3FFF], np.uint64)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+#: True for every id; the planner makes a Bloom filter only of a side that has a condition.
+_ANY = "{} >= -9223372036854775808L"
+
+
 def words(text: str | None) -> list[bytes]:
     """Runs of other than ASCII white space, A-Z lower-cased."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -146,8 +150,10 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent:
                 ok.append(100 * both >= percent * (len(kept) + len(other) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    held = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    return held.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    told = pairs.where(_ANY.format("a") + " and " + _ANY.format("b"))
+    held = texts.select(F.col("node").alias("b"), F.col("text").alias("tb")).join(told, "b")
+    first = texts.join(told.select(F.col("a").alias("node")), "node", "left_semi")
+    return held.join(first.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -179,7 +185,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     groups = exploded.groupBy("j", "k").agg(F.count(F.lit(1)).alias("g"), F.bit_xor(F.xxhash64("node")).alias("m1"), F.sum(F.xxhash64("node", F.lit(1)).bitwiseAND((1 << 40) - 1)).alias("m2")).where("g > 1")
     kept = groups.groupBy("g", "m1", "m2").agg(F.min(F.struct("j", "k")).alias("x")).select("x.j", "x.k")
     members = save(exploded.join(kept, ["j", "k"]), "members")
-    texts = docs.selectExpr("cast(doc_id as long) node", "text").join(members.select("node").distinct(), "node", "left_semi")
+    ends = save(members.select("node").distinct(), "ends")
+    texts = docs.selectExpr("cast(doc_id as long) node", "text").join(ends.where(_ANY.format("node")), "node", "left_semi")
     texts = save(_text_of_node(texts, nodes, shingle_words) if repeats else texts, "texts")
 
     links = labels = None
@@ -205,7 +212,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     out = one.select("doc_id", "n", *keys).join(found, keys, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("found", "doc_id").alias("component_id"))
     if repeats:
         out = rows.select("doc_id").join(out, "doc_id")
-    drop(members, texts, links)
+    drop(members, ends, texts, links)
     return out.withColumn("kept", F.expr("doc_id = component_id")).unionByName(_without_id(docs, shingle_words))
 
 
@@ -253,7 +260,9 @@ def _text_of_node(texts: DataFrame, nodes: DataFrame, shingle_words: int) -> Dat
 
 def _linked(pairs, texts, links, labels, shingle_words, percent):
     """Confirmed links joined to those so far, labels over all of them, and whether links were added."""
+    pairs = save(pairs, "pairs")
     found = save(_confirmed(pairs, texts, shingle_words, percent), "links")
+    drop(pairs)
     if found.isEmpty():
         drop(found)
         return links, labels, False
