@@ -9,7 +9,8 @@ distance 16 are looked at too, which a pair of similarity 0.8 exceeds with proba
 Every candidate link is confirmed on the full shingle sets of whole texts.  Texts with equal sets are one node,
 so copies are never paired.  Inside a key, rounds of leaders link members to a few of them, and only pairs that
 are still in different components are then enumerated, so groups of near copies do not give all their pairs
-and no link between components is lost.
+and no link between components is lost.  In keys of many members a pair must also share one of its rarest shingles (the
+prefix filter of exact set joins), so texts that have only a common passage together are not read against each other.
 """
 
 from __future__ import annotations
@@ -23,13 +24,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridbrook.llm.shared import components, drop, save
+from gridbrook.llm.shared import components, drop, save, settings
 
 CHUNKS, WIDTH, MAX_DISTANCE, LEADERS, ROUNDS = 8, 4, 16, 4, 2
 #: The longer sketch: so many minima, two bits each; a pair of similarity 0.8 differs in more than the limit with probability 1e-5.
 MINIMA, SKETCH_DISTANCE = 256, 64
 SKETCH = [f"t{i}" for i in range(MINIMA // 32)]
 SIG = [f"s{i}" for i in range(CHUNKS)] + SKETCH
+#: Members of different components from which on a key's pairs are held against their rarest shingles first; slots of the shingle counts.
+CROWD, RANKS = 32, 1 << 16
+#: The JVM does not compile methods of over 8000 bytes: the condition on pairs then goes into smaller ones.
+SPLIT = {"spark.sql.codegen.hugeMethodLimit": "8000"}
 _ODD = np.random.default_rng(20240611).integers(1, 2**63, MINIMA, dtype=np.uint64) | np.uint64(1)
 _PAIR = np.arange(0, 64, 2, dtype=np.uint64)
 #: Bits of the symbols of a chunk; one bit a lane stays free, and the sign.
@@ -201,10 +206,14 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
         if not new:
             break
     now = _labelled(members, labels)
-    mixed = now.groupBy("j", "k").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("j", "k")
+    mixed = now.groupBy("j", "k").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("g")).where("c0 <> c1").select("j", "k", "g")
     own = F.element_at(F.array(*SIG[:CHUNKS]), F.expr(f"cast(j div {WIDTH} + 1 as int)"))
-    rest = now.join(mixed, ["j", "k"]).join(nodes.select("node", "n", *SIG), "node").withColumn("own", own)
-    pairs = rest.alias("a").join(rest.alias("b"), F.expr("a.j = b.j and a.k = b.k and a.node < b.node and a.c <> b.c") & _near(percent) & _first_shared())
+    rest = save(now.join(mixed, ["j", "k"]), "rest")
+    crowd = save(rest.where(F.col("g") > CROWD).select("node").distinct(), "crowd")
+    read = save(texts.join(crowd.where(_ANY.format("node")), "node", "left_semi").select("node", "text"), "crowd-texts")
+    rare = save(_rare_first(read, shingle_words, percent), "rare")
+    full = rest.join(nodes.select("node", "n", *SIG), "node").join(rare, "node", "left").withColumn("own", own).withColumn("rare", F.when(F.col("g") > CROWD, F.col("rare")))
+    pairs = full.alias("a").join(full.alias("b"), F.expr("a.j = b.j and a.k = b.k and a.node < b.node and a.c <> b.c") & _near(percent) & _first_shared() & _may_overlap(percent))
     links, labels, _ = _linked(_ends(pairs), texts, links, labels, shingle_words, percent)
 
     found = nodes.select(*keys, "node", F.lit(None).cast("long").alias("component")) if labels is None else nodes.select(*keys, "node").join(labels, "node", "left")
@@ -212,7 +221,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     out = one.select("doc_id", "n", *keys).join(found, keys, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("found", "doc_id").alias("component_id"))
     if repeats:
         out = rows.select("doc_id").join(out, "doc_id")
-    drop(members, ends, texts, links)
+    drop(members, ends, texts, links, rest, crowd, read, rare)
     return out.withColumn("kept", F.expr("doc_id = component_id")).unionByName(_without_id(docs, shingle_words))
 
 
@@ -234,6 +243,47 @@ def _close(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return found.select(F.col("one").alias("a"), F.col("two").alias("b"))
 
 
+def _rare_first(texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """node, rare: as many of a set's shingles as can be missing from a partner's set and one more, rarest first.
+
+    Shingles are put in order by how often their slot of RANKS is hit by all of ``texts``, then by hash: the same order
+    for all sets, so no link is lost whatever the counts.  The counts are a table of fixed size.
+    """
+
+    def count(batches):
+        known, hits = _Hashes(), np.zeros(RANKS, np.int64)
+        for batch in batches:
+            for text in batch.column(1).to_pylist():
+                hits += np.bincount((shingle_hashes(text, shingle_words, known) % np.uint64(RANKS)).astype(np.int64), minlength=RANKS)
+        at = np.flatnonzero(hits)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(hits[at])], ["slot", "hits"])
+
+    often = np.zeros(RANKS, np.int64)
+    for slot, hits in texts.mapInArrow(count, "slot long, hits long").groupBy("slot").agg(F.sum("hits")).collect():
+        often[slot] = hits
+
+    def run(batches):
+        known = _Hashes()
+        for batch in batches:
+            rare = []
+            for text in batch.column(1).to_pylist():
+                h = shingle_hashes(text, shingle_words, known)
+                order = np.lexsort((h, often[(h % np.uint64(RANKS)).astype(np.int64)]))
+                rare.append((h[order[: len(h) - -(-percent * len(h) // 100) + 1]] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rare, pa.list_(pa.int32()))], ["node", "rare"])
+
+    return texts.mapInArrow(run, "node long, rare array<int>")
+
+
+def _may_overlap(percent: int):
+    """False where the rarest shingles of a and b show that they have less in common than a link needs.
+
+    Two sets that have at least c in common share one of the first n - c + 1 shingles of each, in any order that holds for both.
+    """
+    common = f"cast(ceil({percent} * (a.n + b.n) / {100 + percent}.0D - 1e-6D) as int)"
+    return F.expr(f"a.rare is null or b.rare is null or arrays_overlap(slice(a.rare, 1, cast(a.n as int) - {common} + 1), slice(b.rare, 1, cast(b.n as int) - {common} + 1))")
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.expr("a.node").alias("a"), F.expr("b.node").alias("b")).distinct()
 
@@ -260,7 +310,8 @@ def _text_of_node(texts: DataFrame, nodes: DataFrame, shingle_words: int) -> Dat
 
 def _linked(pairs, texts, links, labels, shingle_words, percent):
     """Confirmed links joined to those so far, labels over all of them, and whether links were added."""
-    pairs = save(pairs, "pairs")
+    with settings(texts.sparkSession, SPLIT):
+        pairs = save(pairs, "pairs")
     found = save(_confirmed(pairs, texts, shingle_words, percent), "links")
     drop(pairs)
     if found.isEmpty():

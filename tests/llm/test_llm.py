@@ -64,7 +64,10 @@ def near(df, size):
     return {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(df, size).collect()}
 
 
-def test_near_duplicates(spark, docs):
+@pytest.mark.parametrize("crowd", [32, 0])  # 0: every pair of the last step is held against its rarest shingles
+def test_near_duplicates(spark, docs, crowd, monkeypatch):
+    monkeypatch.setattr("gridbrook.llm.near_dup.CROWD", crowd)
+    monkeypatch.setattr("gridbrook.llm.near_dup.ROUNDS", 2 if crowd else 0)
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     rng = random.Random(1)
     base = [f"w{rng.randrange(500)}" for _ in range(120)]
