@@ -1,13 +1,14 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Fixed masks over 12 words ignore some places, so a window with substituted words still gives an equal hash under
-a mask that ignores them.  Hits name a diagonal (place in the document minus place in the item); around it the
-aligned words are compared, and a document is contaminated where, in a stretch of 13 words (or the whole item, if
-shorter), at least 80 % are equal.
+A stretch of 13 words (or the whole item, if shorter) is contaminated where at least 80 % of the aligned words are
+equal.  If up to t words may differ, the stretch is cut into t + 2 blocks: any t changes leave two of them whole.
+Each mask keeps two blocks and ignores the rest, so every stretch that is to be found gives an equal hash under some
+mask.  Hits name a diagonal (place in the document minus place in the item), along which the words are compared.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -16,27 +17,46 @@ from pyspark.sql import functions as F
 
 from gridbrook.llm.near_dup import _Hashes, words
 
-SPAN, STRETCH, PERCENT, SHORTEST = 12, 13, 80, 5
+STRETCH, PERCENT, SHORTEST = 13, 80, 5
 #: Words of the benchmark that one index holds; larger ones are taken in blocks.
 BLOCK_WORDS = 2_000_000
-#: Fixed masks: 1 marks a place that counts.
-MASKS = ["110110110110", "101101101101", "011011011011", "111100001111", "000111111000"]
-_C = np.random.default_rng(7).integers(1, 2**63, SPAN, dtype=np.uint64) | np.uint64(1)
+#: Words of documents that are hashed at once.
+AT_ONCE = 65536
+_C = np.random.default_rng(7).integers(1, 2**63, STRETCH, dtype=np.uint64) | np.uint64(1)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 FOUND = "doc_id long, item_id long, matched long, aligned long, doc_start long"
 
 
+def blocks_of(n: int) -> list[range]:
+    """Blocks of a stretch of n words: two more than the words that may differ, or one if none may."""
+    changes = n * (100 - PERCENT) // 100
+    count = min(n, changes + 2) if changes else 1
+    cuts = [n * k // count for k in range(count + 1)]
+    return [range(a, b) for a, b in zip(cuts, cuts[1:])]
+
+
+def masks_of(n: int) -> list[tuple[int, ...]]:
+    """Blocks that each mask of a stretch of n words keeps."""
+    k = len(blocks_of(n))
+    return list(combinations(range(k), 2)) if k > 1 else [(0,)]
+
+
 def _hashes(text: str | None, known: _Hashes) -> np.ndarray:
     w = words(text)
     return np.fromiter(map(known.__getitem__, w), np.uint64, len(w))
 
 
-def _seeds(h: np.ndarray, mask: str) -> np.ndarray:
-    n = len(h) - len(mask) + 1
-    out = np.zeros(max(n, 0), np.uint64)
-    for p, on in enumerate(mask):
-        if on == "1":
-            out += (h[p : p + n] if n > 0 else h[:0]) * _C[p]
-    return out ^ (out >> np.uint64(29))
+def _seeds(h: np.ndarray, n: int) -> list[np.ndarray]:
+    """Seeds of every stretch of n words under each of its masks."""
+    size = max(len(h) - n + 1, 0)
+    sums = []
+    for block in blocks_of(n):
+        one = np.zeros(size, np.uint64)
+        for p in block:
+            one += h[p : p + size] * _C[p]
+        sums.append(one)
+    out = [sum((sums[k] for k in kept[1:]), sums[kept[0]]) for kept in masks_of(n)]
+    return [(x ^ (x >> np.uint64(29))) * _SPREAD for x in out]
 
 
 class Index:
@@ -45,46 +65,65 @@ class Index:
     def __init__(self, items: list[tuple[int, str | None]]):
         known = _Hashes()
         self.items = [(i, h) for i, t in items if len(h := _hashes(t, known)) >= SHORTEST]
-        lengths = {len(h) for _, h in self.items if len(h) < SPAN}
         self.tables = []
-        for mask in [*MASKS, *("1" * n for n in sorted(lengths))]:
-            seeds, which, where = [], [], []
-            for k, (_, h) in enumerate(self.items):
-                if (len(mask) == SPAN) == (len(h) >= SPAN) and len(h) >= len(mask) and (len(mask) == SPAN or len(h) == len(mask)):
-                    s = _seeds(h, mask)
-                    seeds.append(s)
-                    which.append(np.full(len(s), k))
-                    where.append(np.arange(len(s)))
-            if seeds:
-                s, k, o = map(np.concatenate, (seeds, which, where))
-                order = np.argsort(s, kind="stable")
-                bits = np.zeros(1 << 22, bool)
-                bits[(s * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)] = True
-                self.tables.append((mask, s[order], k[order], o[order], bits))
-
-    def find(self, h: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item_id, equal words, aligned words, start in the document) of the best alignment of each item found."""
-        lines: set[tuple[int, int]] = set()
-        for mask, seeds, which, where, bits in self.tables:
-            own = _seeds(h, mask)
-            for i in np.flatnonzero(bits[(own * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)]):
-                a, b = np.searchsorted(seeds, own[i]), np.searchsorted(seeds, own[i], "right")
-                lines.update((int(which[x]), int(i) - int(where[x])) for x in range(a, b))
-        best: dict[int, tuple[int, int, int, int]] = {}
-        for k, d in sorted(lines):
+        for n in sorted({min(len(h), STRETCH) for _, h in self.items}):
+            own = [k for k, (_, h) in enumerate(self.items) if min(len(h), STRETCH) == n]
+            found = [_seeds(self.items[k][1], n) for k in own]
+            sizes = [len(x[0]) for x in found]
+            which, where = np.repeat(np.array(own, np.int32), sizes), np.concatenate([np.arange(z, dtype=np.int32) for z in sizes])
+            masks = []
+            for seeds in map(np.concatenate, zip(*found)):
+                order = np.argsort(seeds, kind="stable")
+                shift = np.uint64(64 - min(24, len(seeds).bit_length() + 4))
+                bits = np.zeros(1 << (64 - int(shift)), bool)
+                bits[seeds >> shift] = True
+                masks.append((seeds[order], which[order], where[order], bits, shift))
+            self.tables.append((n, masks))
+
+    def find(self, docs: list[np.ndarray]) -> list[list[tuple[int, int, int, int]]]:
+        """For each document, (item_id, equal words, aligned words, start in the document) of the best alignment of each item found."""
+        out: list[list[tuple[int, int, int, int]]] = []
+        while len(out) < len(docs):
+            size, end = 0, len(out)
+            while end < len(docs) and (end == len(out) or size + len(docs[end]) <= AT_ONCE):
+                size, end = size + len(docs[end]), end + 1
+            out += self._find(docs[len(out) : end])
+        return out
+
+    def _find(self, docs: list[np.ndarray]) -> list[list[tuple[int, int, int, int]]]:
+        h = np.concatenate(docs)
+        starts = np.concatenate([[0], np.cumsum([len(x) for x in docs])])
+        lines = []
+        for n, masks in self.tables:
+            for own, (seeds, which, where, bits, shift) in zip(_seeds(h, n), masks):
+                at = np.flatnonzero(bits[own >> shift])
+                a = np.searchsorted(seeds, own[at])
+                times = np.searchsorted(seeds, own[at], "right") - a
+                if times.any():
+                    x = np.repeat(a - np.cumsum(times) + times, times) + np.arange(times.sum())
+                    at = np.repeat(at, times)
+                    doc = np.searchsorted(starts, at, "right") - 1
+                    lines.append(np.column_stack([doc, which[x], at - starts[doc] - where[x]]))
+        best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
+        # stretches that reach into the next document give lines too; words are compared within one document only
+        for j, k, d in (np.unique(np.concatenate(lines), axis=0) if lines else np.empty((0, 3), int)).tolist():
             item, target = self.items[k]
-            a, b = max(0, -d), min(len(target), len(h) - d)
-            equal = target[a:b] == h[a + d : b + d]
+            own = docs[j]
+            a, b = max(0, -d), min(len(target), len(own) - d)
             need = min(STRETCH, len(target))
-            if len(equal) < need:
+            if b - a < need:
                 continue
+            equal = target[a:b] == own[a + d : b + d]
             total = np.concatenate([[0], np.cumsum(equal)])
             if 100 * (total[need:] - total[:-need]).max() < PERCENT * need:
                 continue
-            one = (int(equal.sum()), b - a, -(a + d), item)
-            if item not in best or one > best[item]:
-                best[item] = one
-        return [(i, m, n, -s) for m, n, s, i in sorted(best.values(), key=lambda x: x[3])]
+            one = (int(total[-1]), b - a, -(a + d), item)
+            best[j, item] = max(one, best.get((j, item), one))
+        out: list[list[tuple[int, int, int, int]]] = [[] for _ in docs]
+        for j, item in sorted(best):
+            m, n, s, _ = best[j, item]
+            out[j].append((item, m, n, -s))
+        return out
 
 
 def _indexes(benchmark: DataFrame):
@@ -99,8 +138,8 @@ def _indexes(benchmark: DataFrame):
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, matched, aligned, doc_start of each document and benchmark item that it overlaps.
 
-    Words are as in near-duplicate detection.  Items of fewer than 5 words are not looked for, those of 5 to 11 only
-    as a whole and unchanged.  Null and empty texts match nothing; items that share an id are one; rows without an id
+    Words are as in near-duplicate detection.  Items of fewer than 5 words are not looked for, those of 5 to 12 only
+    as a whole, with at least 80 % of their words equal.  Null and empty texts match nothing; items that share an id are one; rows without an id
     are left out; repeated rows give repeated results; empty tables give no rows; other columns are ignored.
     """
     own = docs.selectExpr("cast(doc_id as long) doc_id", "text").where("doc_id is not null")
@@ -111,7 +150,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches, sent=sent):
             known = _Hashes()
             for batch in batches:
-                rows = [(d, *x) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in sent.value.find(_hashes(t, known))]
+                found = sent.value.find([_hashes(t, known) for t in batch.column(1).to_pylist()])
+                rows = [(d, *x) for d, xs in zip(batch.column(0).to_pylist(), found) for x in xs]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5, ["doc_id", "item_id", "matched", "aligned", "doc_start"])
 
         found = own.mapInArrow(run, FOUND)
@@ -128,7 +168,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches, sent=sent):
             known = _Hashes()
             for batch in batches:
-                yield batch.filter(pa.array([not sent.value.find(_hashes(t, known)) for t in batch.column(at).to_pylist()], pa.bool_()))
+                found = sent.value.find([_hashes(t, known) for t in batch.column(at).to_pylist()])
+                yield batch.filter(pa.array([not xs for xs in found], pa.bool_()))
 
         out = out.mapInArrow(run, docs.schema)
     return out

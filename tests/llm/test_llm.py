@@ -1,6 +1,8 @@
 """The training-data operators against brute force, round trips and odd rows."""
 
 import hashlib
+import itertools
+import math
 import os
 import random
 import struct
@@ -226,6 +228,46 @@ def test_decontamination(spark, docs, odd):
     assert want <= {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, spark.read.parquet(f"{DATA}/benchmark.parquet")).collect()}
 
 
+@pytest.mark.parametrize("n", range(5, 14))
+def test_decontamination_masks(n):
+    blocks, changes = decontam.blocks_of(n), n - -(-80 * n // 100)
+    kept = [{p for k in mask for p in blocks[k]} for mask in decontam.masks_of(n)]
+    assert all(any(not mask & set(out) for mask in kept) for out in itertools.combinations(range(n), changes))
+    item = [f"w{k}" for k in range(n)]
+    texts = [" ".join(["a", "b"] + [f"z{p}" if p in out else w for p, w in enumerate(item)] + ["c"]) for c in range(changes + 2) for out in itertools.combinations(range(n), c)]
+    near = sum(math.comb(n, c) for c in range(changes + 1))
+    found = decontam.Index([(1, " ".join(item))]).find([decontam._hashes(t, near_dup._Hashes()) for t in texts])
+    assert all(x and x[0][2:] == (n, 2) for x in found[:near]) and not any(found[near:])
+
+
+def test_decontamination_equals_brute_force(monkeypatch):
+    rng = np.random.default_rng(3)
+    items = [(i, [f"v{w}" for w in rng.integers(0, 40, n)]) for i, n in enumerate([5, 6, 9, 10, 11, 12, 13, 20, 40, 60] * 3)]
+    texts = [[f"v{w}" for w in rng.integers(0, 40, n)] for n in rng.integers(0, 90, 150)]
+    for t in texts[::2]:
+        for _, item in (items[k] for k in rng.integers(0, len(items), 2)):
+            t[len(t) // 2 : len(t) // 2] = [w if rng.random() > 0.2 else "x" for w in item]
+    texts.append(["x" if p % 5 == 0 else w for p, w in enumerate(items[9][1])])
+
+    def brute(t):
+        best = {}
+        for i, item in items:
+            need = min(13, len(item))
+            for d in range(need - len(item), len(t) - need + 1):
+                a, b = max(0, -d), min(len(item), len(t) - d)
+                same = [item[p] == t[p + d] for p in range(a, b)]
+                if any(100 * sum(same[p : p + need]) >= 80 * need for p in range(b - a - need + 1)):
+                    one = (sum(same), b - a, -(a + d))
+                    best[i] = max(one, best.get(i, one))
+        return [(i, m, n, -s) for i, (m, n, s) in sorted(best.items())]
+
+    want = [brute(t) for t in texts]
+    monkeypatch.setattr(decontam, "AT_ONCE", 200)
+    index = decontam.Index([(i, " ".join(w)) for i, w in items])
+    assert index.find([decontam._hashes(" ".join(t), near_dup._Hashes()) for t in texts]) == want
+    assert want[-1] and sum(map(len, want)) > 50
+
+
 def test_shards(spark, docs, odd):
     out, stored = sharding.shard_documents(docs)
     rows = out.toPandas()
