@@ -199,6 +199,24 @@ def test_licenses(spark, odd):
     assert licenses.scan(odd, F.col("source")).count() == len(ODD) and licenses.scan(odd.limit(0), F.col("source")).count() == 0
 
 
+def test_licence_texts(spark):
+    texts = {t: k for k, t in licenses.TEMPLATES}
+    gpl, mit = (licenses.Path(licenses.__file__).parent / "licence_texts/GPL-3.0.txt").read_text(), f"MIT License\n\nCopyright (c) 2020 A. Person\n\n{licenses._GRANT}\n\n{licenses._NOTICE}\n\n{licenses._AS_IS}\n"
+    code = "".join(f"\n\ndef some_code_{k}(x):\n    return x{k} + y{k} * z{k}\n" for k in range(60))
+    comment = lambda t: "".join(f"# {' '.join(t.split()[k : k + 9])}\n" for k in range(0, len(t.split()), 9))
+    gnu = next(t for t, k in texts.items() if k == "GPL-2.0" and t.startswith("This program is free") and "WARRANTY" in t)
+    cases = [
+        ("SPDX-License-Identifier: MIT", "p/1", "MIT", "header"), ("// SPDX-License-Identifier: GPL-2.0-only OR MIT\n" + code, "p/2", "GPL-2.0 OR MIT", "header"),
+        ("MIT License", "p/3", "MIT", "file"), ("Licensed under the MIT License.\n" + code, "p/4", "MIT", "header"), (comment(gnu) + code, "p/5", "GPL-2.0", "header"),
+        ("Creative Commons Attribution 4.0 International\n" + code, "p/6", "CC-BY-4.0", "header"), (gpl, "q/COPYING", "GPL-3.0", "file"), (mit, "r/text", "MIT", "file"),
+        (comment(licenses._GRANT) + code, "s/1", "MIT", "header"), (comment(f"{licenses._BSD} {licenses._THIRD} {licenses._BSD_AS_IS}") + code, "s/2", "BSD-3-Clause", "header"),
+        ("Project X\n\nReleased under the ISC License.\n" + code, "t/LICENSE.md", "ISC", "file"), (code, "q/a/b", "GPL-3.0", "directory"), (code, "r/b", "MIT", "directory"), (code, "s/3", None, None), (code, "t/u", "ISC", "directory"),
+    ]
+    df = spark.createDataFrame([(i, t, p) for i, (t, p, _, _) in enumerate(cases)] + [(99 + i, f"plain prose number {i} with the words of a text that is free to use", f"z/{i}") for i in range(60)], "doc_id long, text string, p string")
+    got = {r.doc_id: (r.licence, r.found_in) for r in licenses.scan(df, F.col("p")).where("doc_id < 99").collect()}
+    assert got == {i: (k, f) for i, (_, _, k, f) in enumerate(cases)}
+
+
 def test_quality(spark, docs, odd):
     big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
