@@ -170,6 +170,12 @@ def _(spark, d):
     return nearest.fill_missing(cells, cells.where("klass <> 0").select("i", "j", "value")).select("i", "j", _r(F.col("value"), 6).alias("value"))
 
 
+@_add("fill_missing_all")
+def _(spark, d):
+    cells = _cells(spark, d)
+    return nearest.fill_missing(cells, cells.where("klass <> 0").select("i", "j", "value")).select("i", "j", _r(F.col("value"), 6).alias("value"))
+
+
 @_add("nearest_points", """WITH p AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings)
 SELECT target_id, source_id FROM (SELECT a.id AS target_id, b.id AS source_id, row_number() OVER (PARTITION BY a.id ORDER BY (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z), b.id) AS k
 FROM p a, p b WHERE a.id % 2 = 0 AND b.id % 2 = 1) WHERE k = 1""")

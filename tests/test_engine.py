@@ -166,6 +166,15 @@ def test_sequences(spark):
     assert 0 <= fit.alpha <= 1 and 0 < fit.bfi_max <= 1
 
 
+def test_fill_missing_all(spark):
+    cells = catalog._cells(spark, DATA).toPandas()
+    known = cells[cells.klass != 0].sort_values(["j", "i"])
+    d2 = (cells.i.to_numpy()[:, None] - known.i.to_numpy()) ** 2 + (cells.j.to_numpy()[:, None] - known.j.to_numpy()) ** 2
+    want = dict(zip(zip(cells.i, cells.j), known.value.to_numpy()[d2.argmin(axis=1)]))
+    got = {(r.i, r.j): r.value for r in catalog.queries()["fill_missing_all"](spark, DATA).collect()}
+    assert got.keys() == want.keys() and max(i for i, _ in got) > 16 and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+
+
 def test_absent_subpackage():
     import __spark_entry__ as entry
 
