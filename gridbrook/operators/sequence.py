@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridbrook.operators.calibrate import nelder_mead
+
 
 def _ordered(by, at):
     return Window.partitionBy(*by).orderBy(at)
@@ -193,20 +195,44 @@ def permutation(df: DataFrame, at: str, closeness: float, seed: int, n: int) ->
     return df.orderBy(closeness * F.col(at) + (1 - closeness) * F.rand(seed) * n)
 
 
+def _mode4(x: np.ndarray, share: float) -> float:
+    """Percentile by linear interpolation, mode 4."""
+    x, k = np.sort(x), 0.5 + len(x) * share
+    a, b = (min(len(x), max(1, int(f(k)))) for f in (math.floor, math.ceil))
+    return float(x[a - 1] + (x[b - 1] - x[a - 1]) * (k - a))
+
+
+def _week(q: np.ndarray) -> np.ndarray:
+    return pd.Series(q).rolling(7, center=True, min_periods=1).mean().to_numpy()
+
+
+def _misfit(q: np.ndarray):
+    """Squared relative distance of filtered to weekly flows, mean of all days below the 10 % percentile of the yearly minima; their number."""
+    week = _week(q)
+    low = week < _mode4(np.array([week[i : i + 365].min() for i in range(0, len(week), 365)]), 0.1)
+    top = _mode4(_week(week), 0.2) * len(week) / week.sum()
+
+    def cost(points: np.ndarray) -> np.ndarray:
+        alpha = np.asarray(points, float)[:, 0]
+        base, out = np.zeros(len(alpha)), np.empty((len(week), len(alpha)))
+        for i, v in enumerate(week):
+            base = out[i] = ((1 - top) * alpha * base + (1 - alpha) * top * v) / (1 - alpha * top)
+        return ((out[low] / week[low, None] - 1) ** 2).mean(axis=0)
+
+    return cost, int(low.sum())
+
+
 def eckhardt_fit(df: DataFrame, by: list[str], at: str, x: str) -> DataFrame:
-    """(by, alpha, bfi_max) of each series: recession constant from yearly minima, largest index from low flows."""
+    """(by, alpha, bfi_max) of each series: alpha by Nelder-Mead on [0, 1] over all low-flow days, largest index from low flows.
+
+    The search starts at 0.9 and stays there without a day below the percentile; series of up to 365 days have no alpha.
+    """
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         q = pdf.sort_values(at)[x].to_numpy(float)
-        week = pd.Series(q).rolling(7, center=True, min_periods=1).mean().to_numpy()
-        blocks = [i + int(np.argmin(week[i : i + 365])) for i in range(0, len(week), 365)]
-        falls = [week[i] / week[i - 1] for i in blocks if i > 0 and week[i - 1] > 0]
-        alpha = float(np.clip(np.median(falls), 0.0, 1.0)) if falls else float("nan")
-        low = np.sort(week)
-        k = 0.5 + len(low) * 0.2
-        a, b = int(max(1, math.floor(k))), int(min(len(low), math.ceil(k)))
-        base = low[a - 1] + (low[b - 1] - low[a - 1]) * (k - a)
+        cost, days = _misfit(q)
+        alpha = float("nan") if len(q) <= 365 else float(nelder_mead(cost, [0.9], low=0.0, high=1.0)[0][0]) if days else 0.9
         out = pdf[by].head(1).copy()
-        out["alpha"], out["bfi_max"] = alpha, float(np.minimum(week, base).sum() / week.sum()) if week.sum() else float("nan")
+        out["alpha"], out["bfi_max"] = alpha, float(_mode4(_week(q), 0.2) * len(q) / q.sum()) if q.sum() else float("nan")
         return out
 
     schema = ", ".join([*(f"{c} {dict(df.dtypes)[c]}" for c in by), "alpha double", "bfi_max double"])

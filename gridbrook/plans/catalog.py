@@ -371,6 +371,16 @@ def _(spark, d):
     return sequence.eckhardt(_daily(spark, d).where("day < date '1996-01-01'"), ["l_returnflag"], "day", "q", 0.98, 0.8).select("l_returnflag", "day", _r(F.col("baseflow"), 6).alias("baseflow"))
 
 
+@_add("eckhardt_all")
+def _(spark, d):
+    return sequence.eckhardt(_daily(spark, d), ["l_returnflag"], "day", "q", 0.98, 0.8).select("l_returnflag", "day", _r(F.col("baseflow"), 6).alias("baseflow"))
+
+
+@_add("eckhardt_fit")
+def _(spark, d):
+    return sequence.eckhardt_fit(_daily(spark, d), ["l_returnflag"], "day", "q").select("l_returnflag", _r(F.col("alpha"), 6).alias("alpha"), _r(F.col("bfi_max"), 6).alias("bfi_max"))
+
+
 @_add("boxcox", "SELECT p_partkey, round((power(p_retailprice, 0.3) - 1) / 0.3, 6) AS y, round(ln(p_retailprice), 6) AS z FROM part")
 def _(spark, d):
     return _t(spark, d, "part").select("p_partkey", _r(sequence.boxcox(F.col("p_retailprice"), 0.3), 6).alias("y"), _r(sequence.boxcox(F.col("p_retailprice"), 0), 6).alias("z"))

@@ -175,6 +175,26 @@ def test_fill_missing_all(spark):
     assert got.keys() == want.keys() and max(i for i, _ in got) > 16 and all(abs(got[k] - want[k]) < 1e-5 for k in want)
 
 
+def test_eckhardt_all(spark):
+    days = catalog._daily(spark, DATA).toPandas().sort_values(["l_returnflag", "day"])
+    got = {(r.l_returnflag, r.day): r.baseflow for r in catalog.queries()["eckhardt_all"](spark, DATA).collect()}
+    assert len(got) == len(days)
+    for flag, rows in days.groupby("l_returnflag"):
+        b = None
+        for day, v in zip(rows.day, rows.q.astype(float)):
+            b = v * 0.8 if b is None else min(v, (0.2 * 0.98 * b + 0.02 * 0.8 * v) / (1 - 0.98 * 0.8))
+            assert abs(got[flag, day] - b) < 1e-5
+
+
+def test_eckhardt_fit_all_low_days(spark):
+    t = np.arange(3650)
+    q = 10 + (4 + t % 365 / 200 + t // 365) * np.sin(t / 58.0) + np.random.default_rng(1).gamma(1.0, 1.0, 3650)
+    fit = sequence.eckhardt_fit(spark.createDataFrame([(1, int(i), float(v)) for i, v in enumerate(q)], "k int, t int, q double"), ["k"], "t", "q").first()
+    cost, days = sequence._misfit(q)
+    places = np.linspace(0, 1, 2001)
+    assert days > 1 and abs(fit.alpha - places[cost(places[:, None]).argmin()]) < 1e-3
+
+
 def test_absent_subpackage():
     import __spark_entry__ as entry
 
