@@ -1,7 +1,8 @@
 """Byte-pair encoding and decoding by a deterministic automaton over tokens.
 
 The automaton accepts exactly the token sequences that byte-pair merging yields.  It starts with one state
-that loops on every base symbol; each merge (a, b) -> c, in rank order, applies one gadget:
+that loops on every base symbol; each merge (a, b) -> c, in rank order, applies one gadget where the state
+reached by ``a`` has an arc ``b`` (else merging never meets the pair, and the gadget is void):
 
 * the state reached by ``a`` loses its arc ``b`` (that path now reads ``c``);
 * every state that still has an arc ``a`` gains an arc ``c``;
@@ -11,6 +12,9 @@ All arcs with one label lead to one state, so a state is named by the token that
 three facts: the removed arc with its rank, the arc that ``c`` follows, and the snapshot.  Storing these instead
 of copied arc lists keeps the automaton at O(merges) instead of O(vocabulary squared); ``arc`` reads a
 transition out of the snapshots and the table keeps what it has read.
+
+One token sequence of every string is accepted, and all prefixes of an accepted sequence are.  So each place of a
+word is reached in one state, and a word is encoded in one pass from left to right without going back.
 """
 
 from __future__ import annotations
@@ -22,7 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gridbrook.llm.pretokens import Cache, TokenizerFile, load, public_path
+from gridbrook.llm.pretokens import Table, TokenizerFile, load, public_path
+from gridbrook.llm.shared import in_batches
 
 WORD_BPE = "word_bpe_49k.json"
 OUT = "doc_id long, n_tokens long, token_ids array<int>, ids_sha256 string, decoded_sha256 string"
@@ -31,26 +36,38 @@ OUT = "doc_id long, n_tokens long, token_ids array<int>, ids_sha256 string, deco
 class Automaton:
     """Transitions of the merge automaton of ``file``; base symbols are tokens without a merge."""
 
-    def __init__(self, file: TokenizerFile, table_size: int = 2_000_000):
+    def __init__(self, file: TokenizerFile, table_size: int = 400_000):
         n = max(file.vocab.values()) + 1
         self.born, self.left, self.right = [-1] * n, [-1] * n, [-1] * n
         self.removed: dict[int, int] = {}
-        self.n, self.vocab, self.suffix, self.table, self.table_size = n, file.vocab, file.suffix, {}, table_size
+        self.n, self.suffix, self.table, self.table_size = n, file.suffix, {}, table_size
+        self.gadgets = len(file.merges)
+        made = {file.vocab[a + b] for a, b in file.merges}
+        self.live = [i not in made for i in range(n)]
         for rank, (a, b) in enumerate(file.merges):
             self._gadget(rank, file.vocab[a], file.vocab[b], file.vocab[a + b])
         self.labels = [""] * n
         for text, i in file.vocab.items():
             self.labels[i] = text
-        #: Most symbols of a token that starts with these two.
-        self.heads: dict[str, int] = {}
-        for text in file.vocab:
-            bare = text.removesuffix(self.suffix)
-            self.heads[bare[:2]] = max(self.heads.get(bare[:2], 1), len(bare))
+        self.sizes = [len(text.removesuffix(self.suffix)) for text in self.labels]
+        #: Tokens that some path reads: those that end a word by their bare text, the others in a table of all prefixes, -1 for mere prefixes.
+        self.last: dict[str, int] = {}
+        self.inner: dict[str, int] = {}
+        for text, i in file.vocab.items():
+            if self.live[i]:
+                bare = text[: self.sizes[i]]
+                for k in range(1, len(bare) + 1):
+                    self.inner.setdefault(bare[:k], -1)
+                if bare == text:
+                    self.inner[bare] = i
+                if bare != text or not self.suffix:
+                    self.last[bare] = i
 
     def _gadget(self, rank: int, a: int, b: int, c: int) -> None:
-        self.removed.setdefault(a * self.n + b, rank)
-        if self.born[c] < 0:
-            self.born[c], self.left[c], self.right[c] = rank, a, b
+        if self.live[a] and self.live[b] and self._read(a, b, rank):
+            self.removed[a * self.n + b] = rank
+            if self.born[c] < 0:
+                self.born[c], self.left[c], self.right[c], self.live[c] = rank, a, b, True
 
     def arc(self, state: int, label: int) -> bool:
         """Whether ``label`` leaves the state reached by ``state``."""
@@ -59,11 +76,11 @@ class Automaton:
         if known is None:
             if len(self.table) >= self.table_size:
                 self.table.clear()
-            known = self.table[key] = self._read(state, label)
+            known = self.table[key] = self._read(state, label, self.gadgets)
         return known
 
-    def _read(self, state: int, label: int) -> bool:
-        until = len(self.removed) + 1  # gadgets with a rank below this have been applied
+    def _read(self, state: int, label: int, until: int) -> bool:
+        """The arc as it is when the gadgets with ranks below ``until`` have been applied."""
         while True:
             if self.removed.get(state * self.n + label, until) < until:
                 return False
@@ -75,65 +92,33 @@ class Automaton:
                 return True
 
     def encode(self, symbols: list[str]) -> list[int]:
-        """Ids of a word: the one accepted path, longest arcs first.
-
-        Paths to one position of a word end in the same arc, so a position that led nowhere is not tried again.
-        """
-        n, vocab, suffix, heads, arc = len(symbols), self.vocab, self.suffix, self.heads, self.arc
-        text = "".join(symbols)[: -len(suffix) or None] if n and suffix else "".join(symbols)
-        out, starts, dead, at = [], [], set(), 0
-        end = min(n, heads.get(text[:2], 1))
-        while at < n:
-            while end > at:
-                token = vocab.get(text[at:end] + suffix if end == n else text[at:end])
-                if token is not None and end not in dead and (arc(out[-1], token) if out else True) and self._reaches(token):
+        """Ids of a word: each place's state is the token of the one arc that leads there."""
+        text, n, width, known = "".join(symbols).removesuffix(self.suffix), len(symbols), self.n, self.table.get
+        inner, last = self.inner.get, self.last.get
+        states = [-1] * (n + 1)
+        for at in range(n):
+            state = states[at]
+            if at and state < 0:
+                continue
+            for end in range(at + 1, n):
+                token = inner(text[at:end])
+                if token is None:
                     break
-                end -= 1
-            if end > at:
-                out.append(token)
-                starts.append(at)
-                at = end
-                end = min(n, at + heads.get(text[at : at + 2], 1))
-            elif out:
-                dead.add(at)
-                end, at = at - 1, starts.pop()
-                out.pop()
+                if token >= 0:
+                    leads = known(state * width + token) if at else True
+                    if leads or (leads is None and self.arc(state, token)):
+                        states[end] = token
             else:
+                token = last(text[at:])
+                if token is not None and (not at or self.arc(state, token)):
+                    states[n] = token
+        out, at = [], n
+        while at:
+            if states[at] < 0:
                 raise ValueError(f"no accepted path for {text[:80]!r}")
-        return out
-
-    def _reaches(self, token: int) -> bool:
-        """Whether any path reads ``token``: merging its own base symbols must give it back."""
-        key = -1 - token
-        known = self.table.get(key)
-        if known is None:
-            a, b = self.left[token], self.right[token]
-            known = self.table[key] = a < 0 or self.encode_parts(token) == [token]
-        return known
-
-    def encode_parts(self, token: int) -> list[int]:
-        """What merging makes of the base symbols of ``token``."""
-        parts, todo = [], [token]
-        while todo:
-            t = todo.pop()
-            if self.left[t] < 0:
-                parts.append(t)
-            else:
-                todo += [self.right[t], self.left[t]]
-        while True:
-            ranks = [self.removed.get(x * self.n + y, -1) for x, y in zip(parts, parts[1:])]
-            found = [r for r in ranks if r >= 0]
-            if not found:
-                return parts
-            least, out, i = min(found), [], 0
-            while i < len(parts):
-                if i < len(ranks) and ranks[i] == least:
-                    out.append(self.vocab[self.labels[parts[i]] + self.labels[parts[i + 1]]])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
+            out.append(states[at])
+            at -= self.sizes[states[at]]
+        return out[::-1]
 
 
 class Codec:
@@ -142,7 +127,7 @@ class Codec:
     def __init__(self, path: str):
         self.file = load(path)
         self.automaton = Automaton(self.file)
-        self.words = Cache(lambda w: np.array(self.automaton.encode(self.file.symbols(w)), "<u4").tobytes())
+        self.words = Table(200_000, lambda w: np.array(self.automaton.encode(self.file.symbols(w)), "<u4").tobytes())
         self.labels = self.automaton.labels + [""] * (max([-1, *self.file.special.values()]) + 1 - self.automaton.n)
         for text, i in self.file.special.items():
             self.labels[i] = text
@@ -192,4 +177,4 @@ def encode_decode(docs: DataFrame, path: str | None = None, keep_ids: bool = Tru
             yield pa.RecordBatch.from_pydict(cols)
 
     schema = OUT if keep_ids else OUT.replace("token_ids array<int>, ", "")
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)
+    return in_batches(docs.selectExpr("cast(doc_id as long) doc_id", "text"), run, schema)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridbrook.llm.near_dup import _Hashes, words
+from gridbrook.llm.shared import in_batches
 
 STRETCH, PERCENT, SHORTEST = 13, 80, 5
 #: Words of the benchmark that one index holds; larger ones are taken in blocks.
@@ -154,7 +155,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 rows = [(d, *x) for d, xs in zip(batch.column(0).to_pylist(), found) for x in xs]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5, ["doc_id", "item_id", "matched", "aligned", "doc_start"])
 
-        found = own.mapInArrow(run, FOUND)
+        found = in_batches(own, run, FOUND)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -171,5 +172,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 found = sent.value.find([_hashes(t, known) for t in batch.column(at).to_pylist()])
                 yield batch.filter(pa.array([not xs for xs in found], pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = in_batches(out, run, docs.schema)
     return out

@@ -22,9 +22,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from gridbrook.llm.shared import components, drop, save, settings
+from gridbrook.llm.shared import components, drop, free_name, in_batches, save, settings
 
 CHUNKS, WIDTH, MAX_DISTANCE, LEADERS, ROUNDS = 8, 4, 16, 4, 2
 #: The longer sketch: so many minima, two bits each; a pair of similarity 0.8 differs in more than the limit with probability 1e-5.
@@ -33,6 +34,8 @@ SKETCH = [f"t{i}" for i in range(MINIMA // 32)]
 SIG = [f"s{i}" for i in range(CHUNKS)] + SKETCH
 #: Members of different components from which on a key's pairs are held against their rarest shingles first; slots of the shingle counts.
 CROWD, RANKS = 32, 1 << 16
+#: Pairs of one leader, and members of one key, that meet in one task; more are dealt out.
+PART, TILE = 256, 512
 #: The JVM does not compile methods of over 8000 bytes: the condition on pairs then goes into smaller ones.
 SPLIT = {"spark.sql.codegen.hugeMethodLimit": "8000"}
 _ODD = np.random.default_rng(20240611).integers(1, 2**63, MINIMA, dtype=np.uint64) | np.uint64(1)
@@ -116,7 +119,7 @@ def describe(docs: DataFrame, shingle_words: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict(cols | {c: pa.array(s[:, i].copy()) for i, c in enumerate(SIG)})
 
     schema = "doc_id long, n long, f1 long, f2 long, " + ", ".join(f"{c} long" for c in SIG)
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").where("doc_id is not null").mapInArrow(run, schema)
+    return in_batches(docs.selectExpr("cast(doc_id as long) doc_id", "text").where("doc_id is not null"), run, schema)
 
 
 def _differ(c: str) -> str:
@@ -155,10 +158,13 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent:
                 ok.append(100 * both >= percent * (len(kept) + len(other) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    told = pairs.where(_ANY.format("a") + " and " + _ANY.format("b"))
+    # the pairs of a leader are dealt out to parts of bounded size, each with a copy of its text
+    parts = pairs.where(_ANY.format("a")).groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    some = parts.where("parts > 1")
+    told = pairs.where(_ANY.format("a") + " and " + _ANY.format("b")).join(some, "a", "left").selectExpr("a", "b", "cast(if(parts > 1, pmod(xxhash64(b), parts), 0) as int) part")
     held = texts.select(F.col("node").alias("b"), F.col("text").alias("tb")).join(told, "b")
-    first = texts.join(told.select(F.col("a").alias("node")), "node", "left_semi")
-    return held.join(first.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    first = texts.join(parts.withColumnRenamed("a", "node"), "node").select(F.col("node").alias("a"), F.col("text").alias("ta"), F.explode(F.expr("sequence(0, parts - 1)")).alias("part"))
+    return in_batches(held.join(first, ["a", "part"]).select("a", "b", "ta", "tb"), run, "a long, b long")
 
 
 def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -174,16 +180,21 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     Words are runs of other than ASCII white space with A-Z lower-cased; a set holds the distinct shingles of
     ``shingle_words`` words, the whole sequence where there are fewer; null, empty and blank texts have no set
     and are linked with nothing.  component_id is the smallest doc_id reachable, kept is doc_id = component_id.
-    Rows without an id stand alone: component_id null, kept true.  Rows that repeat an id and text have equal
-    results.  No rows give no rows; other columns are ignored.
+    Rows without an id stand alone: component_id null, kept true.  Rows that share an id are judged each by its own
+    text, so that repeated rows have equal results.  No rows give no rows; other columns are ignored.
     """
+    out = _grouped(docs, shingle_words, percent)[0].select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    return out.withColumn("kept", F.expr("doc_id = component_id")).unionByName(_without_id(docs, shingle_words))
+
+
+def _grouped(docs: DataFrame, shingle_words: int, percent: int) -> tuple[DataFrame, bool]:
+    """doc_id, n, f1, f2, group and its least doc_id (both null without a set) of each row with an id, and whether ids repeat."""
     rows = save(describe(docs, shingle_words), "sets")
     keys = ["f1", "f2"]
     repeats = not rows.groupBy("doc_id").count().where("count > 1").isEmpty()
-    one = rows
-    if repeats:  # rows that share an id are one document, that of the smallest digest
-        one = save(rows.groupBy("doc_id").agg(F.min(F.struct(*keys, "n", *SIG)).alias("x")).select("doc_id", "x.*"), "once")
-    nodes = save(one.where("n > 0").groupBy(*keys).agg(F.min("doc_id").alias("node"), *(F.min(c).alias(c) for c in ["n", *SIG])), "nodes")
+    sets = rows.where("n > 0").groupBy(*keys).agg(F.min("doc_id").alias("doc"), *(F.min(c).alias(c) for c in ["n", *SIG]))
+    # a node is known by its smallest doc_id, or by a number of its own where an id may stand before several texts
+    nodes = save(sets.withColumn("node", F.monotonically_increasing_id() if repeats else F.col("doc")), "nodes")
 
     # keys with equal members say the same: one of them stays
     exploded = nodes.select("node", F.explode(F.array(*_keys())).alias("x")).select("node", "x.j", "x.k")
@@ -191,8 +202,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     kept = groups.groupBy("g", "m1", "m2").agg(F.min(F.struct("j", "k")).alias("x")).select("x.j", "x.k")
     members = save(exploded.join(kept, ["j", "k"]), "members")
     ends = save(members.select("node").distinct(), "ends")
-    texts = docs.selectExpr("cast(doc_id as long) node", "text").join(ends.where(_ANY.format("node")), "node", "left_semi")
-    texts = save(_text_of_node(texts, nodes, shingle_words) if repeats else texts, "texts")
+    if repeats:
+        texts = save(_text_of_node(docs, nodes.join(ends, "node", "left_semi"), shingle_words), "texts")
+    else:
+        texts = save(docs.selectExpr("cast(doc_id as long) node", "text").join(ends.where(_ANY.format("node")), "node", "left_semi"), "texts")
 
     links = labels = None
     for r in range(ROUNDS):
@@ -213,16 +226,23 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     read = save(texts.join(crowd.where(_ANY.format("node")), "node", "left_semi").select("node", "text"), "crowd-texts")
     rare = save(_rare_first(read, shingle_words, percent), "rare")
     full = rest.join(nodes.select("node", "n", *SIG), "node").join(rare, "node", "left").withColumn("own", own).withColumn("rare", F.when(F.col("g") > CROWD, F.col("rare")))
-    pairs = full.alias("a").join(full.alias("b"), F.expr("a.j = b.j and a.k = b.k and a.node < b.node and a.c <> b.c") & _near(percent) & _first_shared() & _may_overlap(percent))
+    # members of a large key are dealt into tiles, and each two tiles meet by themselves
+    tiled = full.withColumn("tiles", F.ceil(F.col("g") / TILE).cast("int")).withColumn("tile", F.expr("cast(pmod(xxhash64(node), tiles) as int)"))
+    ours = tiled.withColumn("u", F.col("tile")).withColumn("v", F.explode(F.expr("sequence(0, tiles - 1)"))).alias("a")
+    theirs = tiled.withColumn("u", F.explode(F.expr("sequence(0, tiles - 1)"))).withColumn("v", F.col("tile")).alias("b")
+    same = "a.j = b.j and a.k = b.k and a.u = b.u and a.v = b.v and a.node < b.node and a.c <> b.c"
+    pairs = ours.join(theirs, F.expr(same) & _near(percent) & _first_shared() & _may_overlap(percent))
     links, labels, _ = _linked(_ends(pairs), texts, links, labels, shingle_words, percent)
 
-    found = nodes.select(*keys, "node", F.lit(None).cast("long").alias("component")) if labels is None else nodes.select(*keys, "node").join(labels, "node", "left")
-    found = found.select(*keys, F.coalesce("component", "node").alias("found"))
-    out = one.select("doc_id", "n", *keys).join(found, keys, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("found", "doc_id").alias("component_id"))
+    found = nodes.select(*keys, "node", "doc", F.lit(None).cast("long").alias("component")) if labels is None else nodes.select(*keys, "node", "doc").join(labels, "node", "left")
+    found = found.select(*keys, "doc", F.coalesce("component", "node").alias("group"))
     if repeats:
-        out = rows.select("doc_id").join(out, "doc_id")
+        found = found.join(found.groupBy("group").agg(F.min("doc").alias("least")), "group")
+    else:
+        found = found.withColumn("least", F.col("group"))
+    out = rows.select("doc_id", "n", *keys).join(found.select(*keys, "group", "least"), keys, "left")
     drop(members, ends, texts, links, rest, crowd, read, rare)
-    return out.withColumn("kept", F.expr("doc_id = component_id")).unionByName(_without_id(docs, shingle_words))
+    return out, repeats
 
 
 def _keys() -> list:
@@ -259,7 +279,7 @@ def _rare_first(texts: DataFrame, shingle_words: int, percent: int) -> DataFrame
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(hits[at])], ["slot", "hits"])
 
     often = np.zeros(RANKS, np.int64)
-    for slot, hits in texts.mapInArrow(count, "slot long, hits long").groupBy("slot").agg(F.sum("hits")).collect():
+    for slot, hits in in_batches(texts, count, "slot long, hits long").groupBy("slot").agg(F.sum("hits")).collect():
         often[slot] = hits
 
     def run(batches):
@@ -272,7 +292,7 @@ def _rare_first(texts: DataFrame, shingle_words: int, percent: int) -> DataFrame
                 rare.append((h[order[: len(h) - -(-percent * len(h) // 100) + 1]] >> np.uint64(32)).astype(np.uint32).view(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rare, pa.list_(pa.int32()))], ["node", "rare"])
 
-    return texts.mapInArrow(run, "node long, rare array<int>")
+    return in_batches(texts, run, "node long, rare array<int>")
 
 
 def _may_overlap(percent: int):
@@ -294,18 +314,27 @@ def _without_id(docs: DataFrame, shingle_words: int) -> DataFrame:
     return describe(marked, shingle_words).select(F.lit(None).cast("long").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
 
 
-def _text_of_node(texts: DataFrame, nodes: DataFrame, shingle_words: int) -> DataFrame:
-    """For ids that stand before several texts: one text of those whose digest the node has."""
+def _digested(docs: DataFrame, shingle_words: int) -> DataFrame:
+    """The rows of ``docs``, all columns, then n, f1 and f2 of their texts."""
+    at = docs.columns.index("text")
 
     def run(batches):
         known = _Hashes()
         for batch in batches:
-            f = [hashlib.blake2b(shingle_hashes(t, shingle_words, known).tobytes(), digest_size=16).digest() for t in batch.column(1).to_pylist()]
-            f = np.frombuffer(b"".join(f), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(f[:, 0].copy()), pa.array(f[:, 1].copy())], ["node", "text", "f1", "f2"])
+            sets = [shingle_hashes(t, shingle_words, known) for t in batch.column(at).to_pylist()]
+            f = np.frombuffer(b"".join(hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in sets), np.int64).reshape(-1, 2)
+            more = [pa.array([len(h) for h in sets], pa.int64()), pa.array(f[:, 0].copy()), pa.array(f[:, 1].copy())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [f"c{i}" for i in range(batch.num_columns + 3)])
+
+    kinds = [f.dataType for f in docs.schema] + [LongType()] * 3
+    return in_batches(docs, run, StructType([StructField(f"c{i}", t) for i, t in enumerate(kinds)]))
 
-    digested = texts.select("node", "text").mapInArrow(run, "node long, text string, f1 long, f2 long")
-    return digested.join(nodes.select("node", "f1", "f2"), ["node", "f1", "f2"], "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+
+def _text_of_node(docs: DataFrame, nodes: DataFrame, shingle_words: int) -> DataFrame:
+    """For ids that stand before several texts: one text of those whose digest the node has."""
+    own = docs.selectExpr("cast(doc_id as long) doc", "text").join(nodes.select("doc").distinct(), "doc", "left_semi")
+    told = _digested(own, shingle_words).toDF("doc", "text", "n", "f1", "f2")
+    return told.join(nodes.select("node", "doc", "f1", "f2"), ["doc", "f1", "f2"]).groupBy("node").agg(F.min("text").alias("text"))
 
 
 def _linked(pairs, texts, links, labels, shingle_words, percent):
@@ -328,12 +357,19 @@ def _linked(pairs, texts, links, labels, shingle_words, percent):
 def keep_one(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, that stay: one of each group, and all without a set or an id.
 
-    A row that repeats the id of the row that stays is dropped with the group's other members.
+    Of a group stays the row of the smallest id, ties to the smaller digest of the set, then to the smaller text.
+    Rows that share an id but not a group are judged apart.
     """
-    told = near_duplicates(docs, shingle_words, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).groupBy("__kept").count()
-    own = docs.withColumn("__id", F.expr("cast(doc_id as long)"))
-    stay = own.join(told, F.col("__id") == F.col("__kept"))
-    once = stay.where("count = 1").select(*docs.columns)
-    again = stay.where("count > 1")
-    first = again.withColumn("__r", F.row_number().over(Window.partitionBy("__id").orderBy("text"))).where("__r = 1").select(*docs.columns)
-    return once.unionByName(first).unionByName(docs.where("cast(doc_id as long) is null"))
+    told, repeats = _grouped(docs, shingle_words, percent)
+    if not repeats:
+        kept = free_name(docs, "kept_id")
+        told = told.where("group is null or least = doc_id").select(F.col("doc_id").alias(kept))
+        return docs.join(told, F.expr(f"cast(doc_id as long) = {kept}")).select(*docs.columns).unionByName(docs.where("cast(doc_id as long) is null"))
+    first = told.where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "f1", "f2")).alias("x")).select("x.*")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own, text = names[docs.columns.index("doc_id")], names[docs.columns.index("text")]
+    marked = _digested(docs, shingle_words).toDF(*names, "n_", "f1_", "f2_")
+    alone = marked.where(f"n_ = 0 or cast({own} as long) is null")
+    stay = marked.where("n_ > 0").join(first, F.expr(f"cast({own} as long) = doc_id and f1_ = f1 and f2_ = f2"))
+    stay = stay.withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "f1", "f2").orderBy(text))).where("place = 1")
+    return stay.select(*names).unionByName(alone.select(*names)).toDF(*docs.columns)

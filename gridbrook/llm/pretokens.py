@@ -47,6 +47,9 @@ class TokenizerFile:
         self.library.no_truncation()
         self.library.no_padding()
         self.lowers = told["normalizer"] is not None
+        pre = told["pre_tokenizer"] or {}
+        #: Whether words are split by the byte-level rule alone, on texts as they are.
+        self.byte_level = not self.lowers and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space", True) and pre.get("use_regex", True) and not any(" " in t for t in self.special)
         self._split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def segments(self, text: str) -> list[tuple[str, int | None]]:
@@ -83,17 +86,24 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class Cache(dict):
-    """word -> value by ``make``; emptied when ``most`` words are held, so memory is bounded."""
+class Table(dict):
+    """key -> value by ``make``, None where not known without it; of at most 2 * ``most`` entries those not asked for longest go first."""
 
-    def __init__(self, make, most: int = 400_000):
+    def __init__(self, most: int, make=None):
         super().__init__()
-        self.make, self.most = make, most
+        self.most, self.make, self.older = most, make, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None and self.make:
+            value = self.make(key)
+        if value is not None:
+            self.put(key, value)
+        return value
 
-    def __missing__(self, word):
+    def put(self, key, value) -> None:
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        value = self.make(word)
-        if len(word) <= 200:
-            self[word] = value
-        return value
+        if len(key) <= 200:
+            self[key] = value

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridbrook.llm.shared import drop, save
+from gridbrook.llm.shared import drop, free_name, in_batches, save
 
 BINS, ROUNDS, SURE, KEEP_FROM, PSEUDO_WEIGHT = 16, 3, 0.95, 0.5, 0.25
 #: Numbers of bins of the metadata features: language, source, length.
@@ -108,7 +108,7 @@ def _features(docs: DataFrame) -> DataFrame:
 
     have = set(docs.columns)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in ("lang", "source", "n_chars")))
-    return own.select("doc_id", "text", _meta().alias("m")).mapInArrow(run, "doc_id long, t array<int>, m array<int>")
+    return in_batches(own.select("doc_id", "text", _meta().alias("m")), run, "doc_id long, t array<int>, m array<int>")
 
 
 def _arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -145,7 +145,7 @@ def _counted(rows: DataFrame, views: list[View] | None) -> tuple[np.ndarray, lis
     own = [np.zeros((s, 2)) for s in sizes]
     hist = [np.zeros((len(GRID) - 1, 2)) for _ in sizes]
     lent = [np.zeros((s, len(GRID) - 1)) for s in sizes]
-    cells = rows.mapInArrow(run, "kind int, v int, i int, j int, n double").groupBy("kind", "v", "i", "j").agg(F.sum("n"))
+    cells = in_batches(rows, run, "kind int, v int, i int, j int, n double").groupBy("kind", "v", "i", "j").agg(F.sum("n"))
     for kind, v, i, j, n in cells.collect():  # at most (sizes) * 80 * 3 cells, whatever the input
         (own, hist, lent)[kind][v][i, j] = n
     return own, hist, lent
@@ -203,7 +203,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 keep = p >= KEEP_FROM
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(batch.schema.get_field_index("doc_id")), "content_logit": pa.array(a, pa.float64()), "metadata_logit": pa.array(b, pa.float64()), "score": pa.array(p, pa.float64()), "keep": pa.array(keep, pa.bool_())})
 
-    return rows.mapInArrow(run, "doc_id long, content_logit double, metadata_logit double, score double, keep boolean")
+    return in_batches(rows, run, "doc_id long, content_logit double, metadata_logit double, score double, keep boolean")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -214,8 +214,8 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return docs
     at, width = docs.columns.index("text"), len(docs.columns)
     have = set(docs.columns)
-    meta = docs.select("*", *(F.lit(None).cast("string").alias(c) for c in ("lang", "source", "n_chars") if c not in have)).withColumn("__m", _meta())
-    meta = meta.select(*docs.columns, "__m")
+    meta = docs.select("*", *(F.lit(None).cast("string").alias(c) for c in ("lang", "source", "n_chars") if c not in have))
+    meta = meta.select(*docs.columns, _meta().alias(free_name(docs, "m")))
 
     def run(batches):
         for batch in batches:
@@ -225,4 +225,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 kept = pa.array(model.score([t, m])[2] >= KEEP_FROM)
                 yield pa.RecordBatch.from_arrays(batch.columns[:width], batch.schema.names[:width]).filter(kept)
 
-    return meta.mapInArrow(run, docs.schema)
+    return in_batches(meta, run, docs.schema)

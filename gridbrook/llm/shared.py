@@ -35,6 +35,17 @@ BLOOM = {
 }
 
 
+#: Bytes of the rows that Python is sent at once, so that long texts don't add up.
+BATCH_BYTES = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
+def in_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow`` with batches of bounded size.  A plan reads the bound when it runs, so it is set on the session."""
+    for k, v in BATCH_BYTES.items():
+        df.sparkSession.conf.set(k, v)
+    return df.mapInArrow(run, schema)
+
+
 @contextmanager
 def settings(spark: SparkSession, conf: dict[str, str]):
     """``conf`` holds inside; settings are put back after."""
@@ -105,7 +116,7 @@ def components(edges: DataFrame, max_rounds: int = 60, task_edges: int = TASK_ED
     digest = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("x", "y"))).first())
     seen = digest(now)
     if seen[0] <= task_edges:
-        out = save(now.coalesce(1).mapInArrow(_joined, "node long, component long"), "components")
+        out = save(in_batches(now.coalesce(1), _joined, "node long, component long"), "components")
         drop(now)
         return out
     for _ in range(max_rounds if seen[0] else 0):

@@ -8,7 +8,8 @@ import heapq
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gridbrook.llm.pretokens import BYTE_CHAR, Cache, TokenizerFile, load, public_path
+from gridbrook.llm.pretokens import BYTE_CHAR, Table, TokenizerFile, load, public_path
+from gridbrook.llm.shared import in_batches
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -25,7 +26,7 @@ class Counter:
             self.merges.setdefault(ids[a] * size + ids[b], r * size + ids[a + b])
         self.bytes = [ids.get(c, -1) for c in BYTE_CHAR]
         self.last = [ids.get(c + file.suffix, -1) for c in BYTE_CHAR]
-        self.words = Cache(self.merged)
+        self.words = Table(200_000, self.merged)
 
     def merged(self, word: str) -> int:
         """Symbols left of a word: the initial ones minus the merges.
@@ -91,4 +92,4 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 1024) ->
                 "over_limit": pa.array([x > limit for x in n], pa.bool_()),
             })
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return in_batches(docs.selectExpr("cast(doc_id as long) doc_id", "text"), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
