@@ -15,6 +15,43 @@ def is_close(a: Column, b: Column, rtol: float = 1e-5, atol: float = 1e-8, equal
     return F.when(some, F.lit(equal_nan)).otherwise((a == b) | near)
 
 
+def eq(a: Column, b: Column) -> Column:
+    """Equal within the tolerance of ``is_close``."""
+    return is_close(a, b)
+
+
+def ne(a: Column, b: Column) -> Column:
+    return ~is_close(a, b)
+
+
+def ge(a: Column, b: Column) -> Column:
+    return (a > b) | is_close(a, b)
+
+
+def le(a: Column, b: Column) -> Column:
+    return (a < b) | is_close(a, b)
+
+
+def is_nan(x: Column) -> Column:
+    return F.isnan(x)
+
+
+def is_finite(x: Column) -> Column:
+    return ~F.isnan(x) & (F.abs(x) < F.lit(math.inf))
+
+
+def is_normal(x: Column) -> Column:
+    """Finite, and zero or not too small for full precision."""
+    return is_finite(x) & ((x == 0) | (F.abs(x) >= F.lit(2.2250738585072014e-308)))
+
+
+SPECIAL = {"nan": math.nan, "inf": math.inf, "-inf": -math.inf, "subnormal": 5e-324, "-subnormal": -5e-324, "0": 0.0, "-0": -0.0}
+
+
+def special_value(name: str) -> Column:
+    return F.lit(SPECIAL[name.lower()])
+
+
 def optval(x: Column, default) -> Column:
     return F.coalesce(x, F.lit(default))
 
@@ -85,6 +122,34 @@ def to_upper(s: Column) -> Column:
     return F.translate(s, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
+def to_text(x: Column, digits: int | None = None) -> Column:
+    """A number as text, with ``digits`` decimals where given; T and F for booleans."""
+    return x.cast("string") if digits is None else F.format_string(f"%.{digits}f", x.cast("double"))
+
+
+def truth_to_text(x: Column) -> Column:
+    return F.when(x, "T").when(~x, "F")
+
+
+def to_codes(s: Column) -> Column:
+    """Character codes of a string."""
+    return F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.ascii(c))
+
+
+def from_codes(codes: Column) -> Column:
+    return F.array_join(F.transform(codes, lambda c: F.char(c)), "")
+
+
+def equal_strings(a: Column, b: Column) -> Column:
+    """Equal but for blanks at the end."""
+    return F.rtrim(a) == F.rtrim(b)
+
+
+def no_null(s: Column) -> Column:
+    """Whether the string holds no zero character."""
+    return F.instr(s, "\0") == 0
+
+
 # dates
 
 def is_leap_year(year: Column) -> Column:
@@ -122,13 +187,73 @@ def next_new(ts: Column, unit: str) -> Column:
     return F.date_trunc(unit, ts).cast("timestamp_ntz") + F.expr(f"interval 1 {unit}")
 
 
+def replace_parts(ts: Column, **parts) -> Column:
+    """The timestamp with some of year, month, day, hour, minute, second replaced."""
+    own = {"year": F.year, "month": F.month, "day": F.day, "hour": F.hour, "minute": F.minute, "second": F.second}
+    return F.make_timestamp_ntz(*(F.lit(parts[k]) if k in parts else f(ts) for k, f in own.items()))
+
+
+def seconds_between(a: Column, b: Column) -> Column:
+    """b - a in whole seconds; timestamps without zone."""
+    return F.unix_timestamp(b.cast("timestamp")) - F.unix_timestamp(a.cast("timestamp"))
+
+
+def delta(seconds: Column) -> Column:
+    """A span as struct(days, seconds) with 0 <= seconds < 86400, whatever its sign."""
+    return F.struct(F.floor(seconds / 86400).cast("int").alias("days"), F.pmod(seconds, F.lit(86400)).cast("int").alias("seconds"))
+
+
+def delta_seconds(span: Column) -> Column:
+    return span["days"].cast("long") * 86400 + span["seconds"]
+
+
+def add_delta(ts: Column, span: Column) -> Column:
+    return ts + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), delta_seconds(span).cast("decimal(18,6)"))
+
+
+def scale_delta(span: Column, factor) -> Column:
+    """The span times a number, rounded to seconds."""
+    return delta(F.round(delta_seconds(span) * factor).cast("long"))
+
+
+def divide_deltas(a: Column, b: Column) -> Column:
+    return delta_seconds(a) / F.nullif(delta_seconds(b), F.lit(0))
+
+
+def fractional_day(year: Column, month: Column, day: Column, hour: Column, minute: Column, second: Column, calendar: str = "standard") -> Column:
+    """Day number as a fraction, a day starting at noon."""
+    return julian_day(year, month, day, calendar).cast("double") + hour / 24 + minute / 1440 + second / 86400 - 0.5
+
+
+def from_fractional_day(number: Column, calendar: str = "standard") -> Column:
+    """struct(year, month, day, hour, minute, second) of a fractional day number, to the nearest second."""
+    total = F.round((number + 0.5) * 86400).cast("long")
+    both = _let(total, lambda t: F.struct(calendar_date(F.floor(t / 86400).cast("long"), calendar).alias("date"), F.pmod(t, F.lit(86400)).alias("rest")))
+    return _let(both, lambda k: F.struct(
+        k["date"]["year"].alias("year"), k["date"]["month"].alias("month"), k["date"]["day"].alias("day"), F.floor(k["rest"] / 3600).cast("int").alias("hour"),
+        F.floor(F.pmod(k["rest"], F.lit(3600)) / 60).cast("int").alias("minute"), F.pmod(k["rest"], F.lit(60)).cast("int").alias("second"),
+    ))
+
+
+#: Day number of 1 January 1900, from which ``days_since_1900`` counts.
+DAY_1900 = 2415021
+
+
+def days_since_1900(year: Column, month: Column, day: Column) -> Column:
+    return julian_day(year, month, day) - DAY_1900
+
+
+def from_days_since_1900(days: Column) -> Column:
+    return calendar_date(days + DAY_1900)
+
+
 def julian_day(year: Column, month: Column, day: Column, calendar: str = "standard") -> Column:
     """Day number: standard (Julian before 15 October 1582), 365_day or 360_day (from year 0)."""
     if calendar == "360_day":
-        return year * 360 + (month - 1) * 30 + day - 1
+        return _signed(year, F.abs(year) * 360 + (month - 1) * 30 + day - 1)
     if calendar == "365_day":
         starts = F.array(*map(F.lit, (0, 31, 59, 90, 120, 151, 181, 212, 243, 273, 304, 334)))
-        return year * 365 + F.element_at(starts, month.cast("int")) + day - 1
+        return _signed(year, F.abs(year) * 365 + F.element_at(starts, month.cast("int")) + day - 1)
     a = F.floor((14 - month) / 12)
     y, m = year + 4800 - a, month + 12 * a - 3
     core = day + F.floor((153 * m + 2) / 5) + 365 * y + F.floor(y / 4)
@@ -136,24 +261,37 @@ def julian_day(year: Column, month: Column, day: Column, calendar: str = "standa
     return F.when(year * 10000 + month * 100 + day >= 15821015, gregorian).otherwise(core - 32083).cast("long")
 
 
+def _signed(year: Column, number: Column) -> Column:
+    """In the 365- and 360-day calendars a day of a negative year has the negative number of that of the positive year."""
+    return F.when(year < 0, -number).otherwise(number)
+
+
 def calendar_date(number: Column, calendar: str = "standard") -> Column:
     """struct(year, month, day) of a day number of ``julian_day``."""
+    if calendar in ("360_day", "365_day"):
+        sign, number = F.when(number < 0, -1).otherwise(1), F.abs(number)
     if calendar == "360_day":
         rest = F.pmod(number, F.lit(360))
-        return F.struct(F.floor(number / 360).cast("int").alias("year"), (F.floor(rest / 30) + 1).cast("int").alias("month"), (rest % 30 + 1).cast("int").alias("day"))
+        return F.struct((sign * F.floor(number / 360)).cast("int").alias("year"), (F.floor(rest / 30) + 1).cast("int").alias("month"), (rest % 30 + 1).cast("int").alias("day"))
     if calendar == "365_day":
         rest = F.pmod(number, F.lit(365))
         starts = F.array(*map(F.lit, (0, 31, 59, 90, 120, 151, 181, 212, 243, 273, 304, 334)))
         month = F.size(F.filter(starts, lambda s: s <= rest))
-        return F.struct(F.floor(number / 365).cast("int").alias("year"), month.alias("month"), (rest - F.element_at(starts, month) + 1).cast("int").alias("day"))
-    new = number >= 2299161
-    a = F.when(new, number + 32044).otherwise(number + 32082)
-    b = F.when(new, F.floor((4 * a + 3) / 146097)).otherwise(0)
-    c = F.when(new, a - F.floor(146097 * b / 4)).otherwise(a)
-    d = F.floor((4 * c + 3) / 1461)
-    e = c - F.floor(1461 * d / 4)
-    m = F.floor((5 * e + 2) / 153)
-    return F.struct((100 * b + d - 4800 + F.floor(m / 10)).cast("int").alias("year"), (m + 3 - 12 * F.floor(m / 10)).cast("int").alias("month"), (e - F.floor((153 * m + 2) / 5) + 1).cast("int").alias("day"))
+        return F.struct((sign * F.floor(number / 365)).cast("int").alias("year"), month.alias("month"), (rest - F.element_at(starts, month) + 1).cast("int").alias("day"))
+    century = _let(number, lambda n: F.struct(F.when(n >= 2299161, n + 32044).otherwise(n + 32082).alias("a"), (n >= 2299161).alias("new")))
+    cycle = _let(century, lambda k: F.struct(k["a"].alias("a"), F.when(k["new"], F.floor((4 * k["a"] + 3) / 146097)).otherwise(0).alias("b"), k["new"].alias("new")))
+    left = _let(cycle, lambda k: F.struct(k["b"].alias("b"), F.when(k["new"], k["a"] - F.floor(146097 * k["b"] / 4)).otherwise(k["a"]).alias("c")))
+    year = _let(left, lambda k: F.struct(k["b"].alias("b"), k["c"].alias("c"), F.floor((4 * k["c"] + 3) / 1461).alias("d")))
+    rest = _let(year, lambda k: F.struct(k["b"].alias("b"), k["d"].alias("d"), (k["c"] - F.floor(1461 * k["d"] / 4)).alias("e")))
+    month = _let(rest, lambda k: F.struct(k["b"].alias("b"), k["d"].alias("d"), k["e"].alias("e"), F.floor((5 * k["e"] + 2) / 153).alias("m")))
+    return _let(month, lambda k: F.struct(
+        (100 * k["b"] + k["d"] - 4800 + F.floor(k["m"] / 10)).cast("int").alias("year"), (k["m"] + 3 - 12 * F.floor(k["m"] / 10)).cast("int").alias("month"), (k["e"] - F.floor((153 * k["m"] + 2) / 5) + 1).cast("int").alias("day"),
+    ))
+
+
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 # polygons: arrays of struct(x, y); polynomials: arrays of coefficients, constant first
@@ -169,7 +307,36 @@ def _edges(points, f):
 
 
 def polygon_orientation(points: Column) -> Column:
-    return F.signum(polygon_area(points)).cast("int")
+    """1 clockwise, -1 counter-clockwise, 0 for a flat line."""
+    return -F.signum(polygon_area(points)).cast("int")
+
+
+def shifted_longitude(x: Column, meridian: float = 180.0) -> Column:
+    """The longitude seen from the opposite meridian."""
+    return F.when(x > 0, F.abs(x) - meridian).otherwise(meridian - F.abs(x))
+
+
+def with_pole(points: Column, meridian: float = 180.0) -> Column:
+    """A polygon around a pole as one that a longitude-latitude plane can show: closed along the meridian over the pole.
+
+    Between the point of the largest and that of the smallest longitude (which must follow each other) come the
+    crossings of the meridian, where not there yet, and the pole's corners; null where they don't follow each other.
+    """
+    n = F.size(points)
+    xs = F.transform(points, lambda p: p.x)
+    i, j = F.array_position(xs, F.array_max(xs)).cast("int"), F.array_position(xs, F.array_min(xs)).cast("int")
+    east, west = F.element_at(points, i), F.element_at(points, j)
+    corner = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    m, none = F.lit(float(meridian)), F.array().cast("array<struct<x:double,y:double>>")
+    to_east, to_west = m - east.x, F.abs(m + west.x)
+    cut = east.y + to_east / (to_east + to_west) * (west.y - east.y)
+    at_east = F.when(F.abs(east.x - m) > 1e-8, F.array(corner(m, cut))).otherwise(none)
+    at_west = F.when(F.abs(west.x + m) > 1e-8, F.array(corner(-m, cut))).otherwise(none)
+    part = lambda a, b: F.when(b >= a, F.slice(points, a, F.greatest(b - a + 1, F.lit(0)))).otherwise(none)
+    one = F.lit(1)
+    north = F.concat(part(one, i), at_east, F.array(corner(m, F.lit(90)), corner(-m, F.lit(90))), at_west, F.when(j > 1, part(j, n)).otherwise(none))
+    south = F.concat(part(one, j), at_west, F.array(corner(-m, F.lit(-90)), corner(m, F.lit(-90))), at_east, F.when(i > 1, part(i, n)).otherwise(none))
+    return F.when(i % n + 1 == j, north).when(j % n + 1 == i, south)
 
 
 def polygon_centre(points: Column) -> Column:
@@ -187,10 +354,33 @@ def derivative(coefficients: Column) -> Column:
     return F.transform(F.slice(coefficients, 2, F.greatest(F.lit(0), F.size(coefficients) - 1)), lambda c, k: c * (k + 1))
 
 
-def root(coefficients: Column, start: Column, steps: int = 50) -> Column:
-    """A root by Newton's method from ``start``."""
-    slope = derivative(coefficients)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start.cast("double"), lambda x, _: x - F.coalesce(polynomial(coefficients, x) / F.nullif(polynomial(slope, x), F.lit(0.0)), F.lit(0.0)))
+def order(coefficients: Column) -> Column:
+    """Largest power with a coefficient other than 0; 0 for a constant."""
+    return F.greatest(F.lit(0), F.array_max(F.transform(coefficients, lambda c, k: F.when(c != 0, k).otherwise(0))))
+
+
+def root(coefficients: Column, start: Column, steps: int = 50, method: str = "newton", delta: float | None = None) -> Column:
+    """A root from ``start`` by Newton's, Halley's or the cubic Householder step (method "newton", "halley", "cubic").
+
+    With ``delta`` the search ends where the value is below it and gives null if that isn't reached in ``steps``.
+    """
+    first = derivative(coefficients)
+    second, third = derivative(first), derivative(derivative(first))
+
+    def step(x):
+        f, d1 = polynomial(coefficients, x), F.nullif(polynomial(first, x), F.lit(0.0))
+        if method == "newton":
+            move = f / d1
+        elif method == "halley":
+            move = f / d1 / (1 - f / d1 * polynomial(second, x) / d1 / 2)
+        else:
+            r, bend = f / d1, polynomial(second, x) / d1
+            move = r * (1 - r * bend / 2) / (1 - bend * r + polynomial(third, x) / d1 * r * r / 6)
+        new = x - F.coalesce(move, F.lit(0.0))
+        return new if delta is None else F.when(F.abs(f) < delta, x).otherwise(new)
+
+    out = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start.cast("double"), lambda x, _: step(x))
+    return out if delta is None else F.when(F.abs(polynomial(coefficients, out)) < delta, out)
 
 
 # analytic test functions of optimizers, over lists of columns
@@ -256,3 +446,24 @@ def branin(xs):
 
 
 TEST_FUNCTIONS = {f.__name__: f for f in (sphere, rosenbrock, rastrigin, griewank, ackley, booth, himmelblau, goldstein_price, six_hump_camel, beale, easom, branin)}
+
+
+# random numbers
+
+def uniform(seed: int) -> Column:
+    """Uniform on [0, 1), a stream of its own for each seed; repeatable for equal partitions."""
+    return F.rand(seed)
+
+
+def gaussian_noise(seed: int) -> Column:
+    return F.randn(seed)
+
+
+def hashed_uniform(key: Column, seed: int) -> Column:
+    """Uniform on [0, 1) out of a row's key and a seed: the same number wherever the row is."""
+    return F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11) / float(1 << 53)
+
+
+def hashed_gaussian(key: Column, seed: int) -> Column:
+    """Standard normal out of a row's key and a seed (Box and Muller)."""
+    return F.sqrt(-2 * F.ln(1 - hashed_uniform(key, 2 * seed))) * F.cos(2 * math.pi * hashed_uniform(key, 2 * seed + 1))

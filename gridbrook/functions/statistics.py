@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridbrook.operators.tables import join_by
+
 
 def masked(x: Column, mask: Column) -> Column:
     return F.when(mask, x)
@@ -45,7 +47,7 @@ def correlation(x, y):
 def with_means(df: DataFrame, by: list[str], **columns: str) -> DataFrame:
     """``df`` with group means in new columns, by a join of the aggregate: no window over whole groups."""
     means = df.groupBy(*by).agg(*(F.avg(c).alias(k) for k, c in columns.items()))
-    return df.join(means, by) if by else df.crossJoin(F.broadcast(means))
+    return join_by(df, means, by)
 
 
 def absdev(df: DataFrame, by: list[str], x: str) -> DataFrame:
@@ -53,8 +55,10 @@ def absdev(df: DataFrame, by: list[str], x: str) -> DataFrame:
 
 
 def central_moments(df: DataFrame, by: list[str], x: str, orders: list[int]) -> DataFrame:
+    """m<r> for each order: 0 for a negative one, 1 for 0, else the mean power of deviations, null for fewer than three values."""
     d = F.col(x) - F.col("__m")
-    return with_means(df, by, __m=x).groupBy(*by).agg(*(F.avg(F.pow(d, F.lit(r))).alias(f"m{r}") for r in orders))
+    one = lambda r: F.lit(0.0) if r < 0 else F.lit(1.0) if r == 0 else F.when(F.count(x) > 2, F.avg(F.pow(d, F.lit(r))))
+    return with_means(df, by, __m=x).groupBy(*by).agg(*(one(r).alias(f"m{r}") for r in orders))
 
 
 def central_moment_variance(df: DataFrame, by: list[str], x: str, r: int) -> DataFrame:
@@ -63,7 +67,7 @@ def central_moment_variance(df: DataFrame, by: list[str], x: str, r: int) -> Dat
     n = df.groupBy(*by).agg(F.count(x).alias("n"))
     c = lambda k: F.lit(1.0) if k == 0 else F.lit(0.0) if k == 1 else F.col(f"m{k}")
     value = (c(2 * r) - c(r) * c(r) + r * r * c(r - 1) * c(r - 1) * c(2) - 2 * r * c(r + 1) * c(r - 1)) / F.col("n")
-    rows = m.join(n, by) if by else m.crossJoin(F.broadcast(n))
+    rows = join_by(m, n, by)
     return rows.select(*by, value.alias("value"))
 
 
@@ -72,6 +76,28 @@ def mixed_moment(df: DataFrame, by: list[str], x: str, y: str, r: int, s: int) -
     return rows.groupBy(*by).agg(F.avg(F.pow(F.col(x) - F.col("__mx"), F.lit(r)) * F.pow(F.col(y) - F.col("__my"), F.lit(s))).alias("value"))
 
 
+def mixed_moment_variance(df: DataFrame, by: list[str], x: str, y: str, r: int, s: int) -> DataFrame:
+    """Sampling variance of the mixed central moment of orders r and s, null for fewer than three pairs."""
+    rows = with_means(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), by, __mx=x, __my=y)
+    dx, dy = F.col(x) - F.col("__mx"), F.col(y) - F.col("__my")
+    u = lambda p, q: F.avg(F.pow(dx, F.lit(p)) * F.pow(dy, F.lit(q))) if min(p, q) >= 0 else F.lit(0.0)
+    value = u(2 * r, 2 * s) - F.pow(u(r, s), 2) + r * r * u(2, 0) * F.pow(u(r - 1, s), 2) + s * s * u(0, 2) * F.pow(u(r, s - 1), 2)
+    value = value + 2.0 * r * s * u(1, 1) * u(r - 1, s) * u(r, s - 1) - 2.0 * r * u(r + 1, s) * u(r - 1, s) - 2.0 * s * u(r, s + 1) * u(r, s - 1)
+    return rows.groupBy(*by).agg(F.when(F.count(F.lit(1)) > 2, value / F.count(F.lit(1))).alias("value"))
+
+
+def moment(df: DataFrame, by: list[str], x: str, sample: bool = True) -> DataFrame:
+    """average, variance, skewness, kurtosis, mean, stddev, absdev in one row a group; without ``sample`` variance divides by n."""
+    rows = with_means(df, by, __m=x)
+    c, n = F.col(x), F.count(x)
+    spread = F.var_samp(c) if sample else F.var_pop(c)
+    skew, kurt = (skewness(c), kurtosis(c)) if sample else (F.skewness(c), F.kurtosis(c))
+    return rows.groupBy(*by).agg(
+        F.avg(c).alias("average"), F.when(n > 1, spread).alias("variance"), F.when(n > 1, skew).alias("skewness"), F.when(n > 1, kurt).alias("kurtosis"),
+        F.avg(c).alias("mean"), F.when(n > 1, F.sqrt(spread)).alias("stddev"), F.when(n > 1, F.avg(F.abs(c - F.col("__m")))).alias("absdev"),
+    )
+
+
 # skill of simulations y against observations x, over rows where both are known
 
 def _pair(x, y):
@@ -153,22 +179,39 @@ def categorical_agreement(x, y):
 
 
 def average_rank(df: DataFrame, by: list[str], x: str, to: str) -> DataFrame:
-    """Ranks from 1, ties sharing their mean rank: counts of values, then places, then a join back."""
-    counts = df.groupBy(*by, x).agg(F.count(F.lit(1)).alias("__n"))
+    """Ranks from 1, ties sharing their mean rank, null for a null value: counts of values, then places, then a join back."""
+    counts = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count(F.lit(1)).alias("__n"))
     up = Window.partitionBy(*by).orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
     ranks = counts.withColumn(to, F.coalesce(F.sum("__n").over(up), F.lit(0)) + (F.col("__n") + 1) / 2).drop("__n")
-    return df.join(ranks, [*by, x])
+    return join_by(df, ranks, [*by, x], "left")
+
+
+def _steps(rows: DataFrame, by: list[str], c: str) -> DataFrame:
+    """(by, value, first and last place) of each distinct value: a sorted series of counts."""
+    counts = rows.groupBy(*by, F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    last = F.sum("n").over(Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    return counts.withColumn("last", last).withColumn("first", F.col("last") - F.col("n") + 1)
 
 
 def kge_np(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """Non-parametric KGE: rank correlation and the distance of the sorted, scaled series."""
+    """Non-parametric KGE: rank correlation and the distance of the sorted, scaled series.
+
+    Values are counted first.  Ranks come from the counts, and the two sorted series are read as runs of equal values:
+    between two neighbouring run ends of either series both are constant.
+    """
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("x"), F.col(y).alias("y"))
-    ranked = average_rank(average_rank(rows, by, "x", "rx"), by, "y", "ry")
+    sx, sy = _steps(rows, by, "x"), _steps(rows, by, "y")
+    mean = lambda s, c: s.select(*by, F.col("v").alias(c), ((F.col("first") + F.col("last")) / 2).alias(f"r{c}"))
+    ranked = join_by(join_by(rows, mean(sx, "x"), [*by, "x"]), mean(sy, "y"), [*by, "y"])
     head = ranked.groupBy(*by).agg(F.corr("rx", "ry").alias("r"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.count(F.lit(1)).alias("n"))
-    place = lambda c: rows.select(*by, c, F.row_number().over(Window.partitionBy(*by).orderBy(c)).alias("k"))
-    pairs = place("x").join(place("y"), [*by, "k"])
-    joined = pairs.join(head, by) if by else pairs.crossJoin(F.broadcast(head))
-    alpha = joined.groupBy(*by, "r", "mx", "my").agg((1 - 0.5 * F.sum(F.abs(F.col("y") / (F.col("n") * F.col("my")) - F.col("x") / (F.col("n") * F.col("mx"))))).alias("a"))
+    ends = sx.select(*by, "last", F.col("v").alias("x"), F.lit(None).cast("double").alias("y")).unionByName(sy.select(*by, "last", F.lit(None).cast("double").alias("x"), F.col("v").alias("y")))
+    ends = ends.groupBy(*by, "last").agg(F.max("x").alias("x"), F.max("y").alias("y"))
+    # the value of the run that holds a place is that of the next end
+    back = Window.partitionBy(*by).orderBy(F.desc("last")).rowsBetween(Window.unboundedPreceding, 0)
+    runs = ends.withColumn("x", F.last("x", True).over(back)).withColumn("y", F.last("y", True).over(back))
+    runs = runs.withColumn("k", F.col("last") - F.coalesce(F.lead("last").over(Window.partitionBy(*by).orderBy(F.desc("last"))), F.lit(0)))
+    joined = join_by(runs, head, by)
+    alpha = joined.groupBy(*by, "r", "mx", "my").agg((1 - 0.5 * F.sum(F.col("k") * F.abs(F.col("y") / (F.col("n") * F.col("my")) - F.col("x") / (F.col("n") * F.col("mx"))))).alias("a"))
     return alpha.select(*by, (1 - F.sqrt(F.pow(1 - F.col("a"), 2) + F.pow(1 - F.col("my") / F.col("mx"), 2) + F.pow(1 - F.col("r"), 2))).alias("kge_np"))
 
 
@@ -228,10 +271,30 @@ def linfit(x, y, model2: bool = False):
     b = F.signum(F.covar_pop(x, y)) * F.stddev_pop(y) / F.stddev_pop(x) if model2 else F.covar_pop(x, y) / F.var_pop(x)
     a = F.avg(y) - b * F.avg(x)
     chi2 = n * (F.var_pop(y) - 2 * b * F.covar_pop(x, y) + b * b * F.var_pop(x))
-    scatter = F.sqrt(chi2 / (n - 2))
-    sxx = n * F.var_pop(x)
-    return F.struct(a.alias("a"), b.alias("b"), (scatter * F.sqrt(1 / n + F.avg(x) * F.avg(x) / sxx)).alias("siga"), (scatter / F.sqrt(sxx)).alias("sigb"), chi2.alias("chi2"))
+    sxx, syy, sxy = n * F.var_pop(x), n * F.var_pop(y), n * F.covar_pop(x, y)
+    # both models take the scatter about the ordinary line; model II adds that of x about its own line to the error of a
+    scatter = F.abs(syy - sxy * sxy / sxx) / (n - 2)
+    siga2 = scatter * (1 / n + F.avg(x) * F.avg(x) / sxx)
+    if model2:
+        siga2 = siga2 + b * b * F.abs(sxx - sxy * sxy / syy) / (n - 2) / n
+    return F.struct(a.alias("a"), b.alias("b"), F.sqrt(siga2).alias("siga"), F.sqrt(scatter / sxx).alias("sigb"), chi2.alias("chi2"))
 
 
 def loglikelihood(x, y, sigma):
+    """Of errors y - x with a given standard deviation."""
     return -0.5 * F.sum(F.pow((y - x) / sigma, 2))
+
+
+def likelihood(x, y, sigma):
+    return F.exp(loglikelihood(x, y, sigma))
+
+
+def loglikelihood_stddev(x, y, sigma):
+    """struct(value with ``sigma``, stddev of the errors, value with that)."""
+    e, own = y - x, F.stddev_samp(y - x)
+    return F.struct(loglikelihood(x, y, sigma).alias("value"), own.alias("stddev_new"), (-0.5 * F.sum(e * e) / F.nullif(own * own, F.lit(0.0))).alias("value_new"))
+
+
+def likelihood_stddev(x, y, sigma):
+    found = loglikelihood_stddev(x, y, sigma)
+    return F.struct(F.exp(found["value"]).alias("value"), found["stddev_new"].alias("stddev_new"), F.exp(found["value_new"]).alias("value_new"))

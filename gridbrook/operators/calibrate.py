@@ -39,14 +39,93 @@ def dds(objective: Objective, start, low, high, evaluations: int = 1000, r: floa
         if not move.any():
             move[rng.integers(len(best))] = True
         new = best + move * rng.normal(size=len(best)) * r * (high - low)
-        new = np.where(new < low, 2 * low - new, np.where(new > high, 2 * high - new, new))
-        new = np.where((new < low) | (new > high), best, new)
+        new = _reflected(new, low, high)
         now = float(objective(new[None])[0])
         if now <= cost:
             best, cost = new, now
     return best, cost
 
 
+def summary_objective(data: DataFrame, features: list[str], observed: str, model: Callable[[np.ndarray, np.ndarray], np.ndarray], most: int = 1_000_000) -> Objective:
+    """Root mean square errors without a pass over the data for each batch, for models of a bounded set of feature values.
+
+    Rows are reduced once to counts, means and variances for each distinct set of features, which raise beyond
+    ``most``; the mean square error is that of the means plus the variances, weighted.  ``model`` takes a parameter set
+    and the array of features.
+    """
+    rows = data.groupBy(*features).agg(F.count(observed).alias("n"), F.avg(observed).alias("m"), F.var_pop(observed).alias("v")).limit(most + 1).toPandas()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} distinct sets of features")
+    x, n, m, v = rows[features].to_numpy(float), rows["n"].to_numpy(float), rows["m"].to_numpy(float), rows["v"].to_numpy(float)
+    return lambda sets: np.array([math.sqrt(float((n * ((model(p, x) - m) ** 2 + v)).sum() / n.sum())) for p in sets])
+
+
+def mdds(objective: Objective, start, low, high, evaluations: int = 1000, r: float = 0.2, seed: int = 1) -> tuple[np.ndarray, float]:
+    """DDS whose step size adapts: it grows after steps that better the cost and shrinks after a row of those that don't."""
+    low, high = _bounds(low, high)
+    rng, best = np.random.default_rng(seed), np.array(start, float)
+    cost, failed = float(objective(best[None])[0]), 0
+    for i in range(1, evaluations):
+        move = rng.random(len(best)) < 1 - math.log(i) / math.log(evaluations)
+        if not move.any():
+            move[rng.integers(len(best))] = True
+        new = _reflected(best + move * rng.normal(size=len(best)) * r * (high - low), low, high)
+        now = float(objective(new[None])[0])
+        if now <= cost:
+            best, cost, r, failed = new, now, min(1.0, r * 1.3), 0
+        else:
+            failed += 1
+            if failed % (5 * len(best)) == 0:
+                r = max(1e-4, r * 0.7)
+    return best, cost
+
+
+def _reflected(new, low, high):
+    """A step over a bound is reflected; one that then passes the other bound ends at the bound it stepped over."""
+    below, above = new < low, new > high
+    new = np.where(below, 2 * low - new, np.where(above, 2 * high - new, new))
+    return np.where(below & (new > high), low, np.where(above & (new < low), high, new))
+
+
+def nelder_mead_xy(objective, x, y, start, **options) -> tuple[np.ndarray, float]:
+    """Downhill simplex of an objective that takes a parameter set and the data x and y."""
+    return nelder_mead(lambda sets: np.array([objective(p, x, y) for p in sets]), start, **options)
+
+
+def initial_temperature(objective: Objective, start, low, high, acceptance: float = 0.95, samples: int = 500, seed: int = 1, tolerance: float = 1e-3) -> float:
+    """The temperature at which worsening steps between sampled neighbours are accepted with the wanted share."""
+    low, high = _bounds(low, high)
+    rng = np.random.default_rng(seed)
+    points = np.clip(np.asarray(start, float) + rng.normal(size=(samples, len(low))) * 0.2 * (high - low), low, high)
+    costs = objective(points)
+    a, b = costs[:-1], costs[1:]
+    lower, upper = np.minimum(a, b), np.maximum(a, b)
+    worse = upper > lower
+    if not worse.any():
+        return 1.0
+    lower, upper = lower[worse], upper[worse]
+    t = float((upper - lower).mean() / math.log(1 / acceptance))
+    for _ in range(200):
+        share = float(np.exp(-upper / t + upper.min() / t).sum() / np.exp(-lower / t + upper.min() / t).sum())
+        if abs(share - acceptance) < tolerance:
+            break
+        t *= math.log(max(share, 1e-12)) / math.log(acceptance)
+    return t
+
+
+def cubic_cost(sets: np.ndarray) -> np.ndarray:
+    """Mean absolute error of cubics p0 x^3 + p1 x^2 + p2 x + p3 against six measured points."""
+    x = np.array([0.5, 1.0, 1.5, 2.0, 2.5, 3.0])  # fixed values
+    y = np.array([5.725, 21.7, 49.175, 88.9, 141.625, 208.1])
+    p = np.atleast_2d(sets)
+    return np.abs(y - (p[:, :1] * x**3 + p[:, 1:2] * x**2 + p[:, 2:3] * x + p[:, 3:4])).mean(axis=1)
+
+
+def cubic_range(parameters, k: int) -> tuple[float, float]:
+    """Bounds of parameter ``k`` (from 0) of ``cubic_cost``, the first two depending on each other."""
+    return [(0.025 * parameters[1], 10.0), (0.0, 40.0 * parameters[0]), (0.0, 10.0), (0.0, 5.0)][k]
+
+
 def nelder_mead(objective: Objective, start, step=0.1, tolerance: float = 1e-10, evaluations: int = 2000, low=None, high=None) -> tuple[np.ndarray, float]:
     """Downhill simplex; points are kept within the bounds where given."""
     inside = lambda x: x if low is None else np.clip(x, low, high)
@@ -93,14 +172,23 @@ def anneal(objective: Objective, start, low, high, evaluations: int = 3000, temp
     return best, least
 
 
-def sce(objective: Objective, low, high, complexes: int = 4, loops: int = 60, seed: int = 1) -> tuple[np.ndarray, float]:
-    """Shuffled complex evolution; the offspring of all complexes are one batch."""
+def sce(objective: Objective, low, high, complexes: int = 4, loops: int = 60, seed: int = 1, spark=None, state: str | None = None) -> tuple[np.ndarray, float]:
+    """Shuffled complex evolution; the offspring of all complexes are one batch.
+
+    With ``state``, a folder of tables, the population is written after each loop, and a search that was broken off
+    goes on from the last one there.
+    """
     low, high = _bounds(low, high)
     n, rng = len(low), np.random.default_rng(seed)
     m = 2 * n + 1
     points = rng.uniform(low, high, (complexes * m, n))
-    costs = objective(points)
-    for _ in range(loops):
+    first = 0
+    if state and (found := _last_population(spark, state)):
+        first, points, costs = found
+        rng = np.random.default_rng([seed, first])
+    else:
+        costs = objective(points)
+    for loop in range(first, loops):
         order = np.argsort(costs)
         points, costs = points[order], costs[order]
         for _ in range(m):
@@ -124,12 +212,38 @@ def sce(objective: Objective, low, high, complexes: int = 4, loops: int = 60, se
                     if got[3 * k + o] < costs[worst] or o == 2:
                         points[worst], costs[worst] = offers[3 * k + o], got[3 * k + o]
                         break
+        if state:
+            rows = [(loop + 1, i, p.tolist(), float(c)) for i, (p, c) in enumerate(zip(points, costs))]
+            spark.createDataFrame(rows, "loop int, i int, parameters array<double>, cost double").coalesce(1).write.mode("append").parquet(state)
         if np.ptp(points, axis=0).max() < 1e-8:
             break
     k = int(np.argmin(costs))
     return points[k], float(costs[k])
 
 
+def _last_population(spark, state: str):
+    from pyspark.errors import AnalysisException
+
+    try:
+        rows = spark.read.schema("loop int, i int, parameters array<double>, cost double").parquet(state)
+    except AnalysisException:  # nothing was written yet
+        return None
+    last = rows.agg(F.max("loop")).first()[0]
+    if last is None:
+        return None
+    found = rows.where(F.col("loop") == last).orderBy("i").collect()
+    return last, np.array([r.parameters for r in found], float), np.array([r.cost for r in found], float)
+
+
+def mcmc_stddev(spark, residuals: Callable[[np.ndarray], np.ndarray], start, low, high, **options) -> DataFrame:
+    """Metropolis chains for errors of unknown deviation: the parameters' likelihood with the errors' own standard deviation."""
+    def value(p):
+        e = residuals(p)
+        return -0.5 * len(e) * math.log(max(float((e * e).mean()), 1e-300))
+
+    return mcmc(spark, value, start, low, high, **options)
+
+
 def mcmc(spark, loglikelihood: Callable[[np.ndarray], float], start, low, high, chains: int = 4, burn_in: int = 1000, samples: int = 2000, seed: int = 1) -> DataFrame:
     """(chain, step, parameters, value): Metropolis chains, one a task; the step is tuned in the burn-in to accept about 0.3."""
     low, high = _bounds(low, high)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridbrook.operators.tables import join_by
+
 SECONDS = {"days": 86400, "hours": 3600, "minutes": 60, "seconds": 1}
 _UNITS = re.compile(r"^(days|hours|minutes|seconds) since (\d{1,4}-\d{1,2}-\d{1,2})(?:[ T](\d{1,2}:\d{2}(?::\d{2})?))?$")
 
@@ -57,7 +59,7 @@ def resample_intervals(source: DataFrame, target: DataFrame, by: list[str], meth
     """Values of intervals [lower, upper) (seconds) drawn to the intervals of ``target`` (t, lower, upper).
 
     mean weighs by overlap over the target's length, sum shares a value by overlap over the source's, min and max
-    take all that overlap.  Targets that a series doesn't cover whole have null.  Both sides are cut into buckets of
+    take all that overlap.  Targets that known values of a series don't cover whole have null.  Both sides are cut into buckets of
     ``bucket`` seconds, so the overlap is a hash join on the bucket and a residual predicate, counted once in the
     bucket where the overlap starts.
     """
@@ -69,23 +71,33 @@ def resample_intervals(source: DataFrame, target: DataFrame, by: list[str], meth
     ov = F.least("su", "tu") - start
     width, own = F.col("tu") - F.col("tl"), F.col("su") - F.col("sl")
     agg = {"mean": F.sum(F.col("value") * ov / width), "sum": F.sum(F.col("value") * ov / own), "min": F.min("value"), "max": F.max("value")}[method]
-    out = rows.groupBy(*by, "t").agg(agg.alias("value"), F.sum(ov).alias("__got"), F.max(width).alias("__w"))
+    out = rows.groupBy(*by, "t").agg(agg.alias("value"), F.sum(F.when(F.col("value").isNotNull(), ov)).alias("__got"), F.max(width).alias("__w"))
     return out.select(*by, "t", F.when(F.col("__got") == F.col("__w"), F.col("value")).alias("value"))
 
 
-def resample_instants(source: DataFrame, target: DataFrame, by: list[str], method: str = "previous") -> DataFrame:
+def resample_instants(source: DataFrame, target: DataFrame, by: list[str], method: str = "previous", bucket: int | None = None) -> DataFrame:
     """As-of join: values at the times ``at`` of ``target`` from those at the times ``at`` of ``source``.
 
     previous takes the last value not later, nearest the closer one (ties to the earlier), linear the line between
-    the neighbours; outside the range nearest is clamped and the others are null.  One shuffle by series: the two
-    tables are united and read in order.
+    the neighbours; outside the range nearest is clamped and the others are null.  The two tables are united and read
+    in order, forwards and backwards.  With ``bucket``, a width in units of ``at``, long series are cut there: a
+    bucket takes what lies before and behind it from the first and last values of the others.
     """
     s = source.select(*by, "at", F.lit(0).alias("__k"), F.struct(F.col("at").alias("a"), F.col("value").alias("v")).alias("__s"))
     t = target.select(*by, "at", F.lit(1).alias("__k"), F.lit(None).cast(s.schema["__s"].dataType).alias("__s"))
     rows = s.unionByName(t)
-    back = Window.partitionBy(*by).orderBy("at", "__k").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*by).orderBy("at", F.desc("__k")).rowsBetween(0, Window.unboundedFollowing)
-    rows = rows.withColumn("__p", F.last("__s", True).over(back)).withColumn("__n", F.first("__s", True).over(ahead)).where("__k = 1")
+    keys = by if bucket is None else [*by, "__b"]
+    if bucket is not None:
+        rows = rows.withColumn("__b", F.floor(F.col("at") / bucket).cast("long"))
+    back = Window.partitionBy(*keys).orderBy("at", "__k").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*keys).orderBy(F.desc("at"), "__k").rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn("__p", F.last("__s", True).over(back)).withColumn("__n", F.last("__s", True).over(ahead)).where("__k = 1")
+    if bucket is not None:
+        ends = rows.groupBy(*keys).agg(F.min("__s").alias("__lo"), F.max("__s").alias("__hi"))
+        up = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+        down = Window.partitionBy(*by).orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.withColumn("__before", F.last("__hi", True).over(up)).withColumn("__after", F.last("__lo", True).over(down)).drop("__lo", "__hi")
+        found = join_by(found, ends, keys).withColumn("__p", F.coalesce("__p", "__before")).withColumn("__n", F.coalesce("__n", "__after"))
     p, n, at = F.col("__p"), F.col("__n"), F.col("at")
     if method == "previous":
         value = p["v"]
@@ -93,9 +105,57 @@ def resample_instants(source: DataFrame, target: DataFrame, by: list[str], metho
         value = F.when(n.isNull() | (at - p["a"] <= n["a"] - at), p["v"]).otherwise(n["v"])
     else:
         value = F.when(p["a"] == n["a"], p["v"]).otherwise(p["v"] + (n["v"] - p["v"]) * (at - p["a"]) / (n["a"] - p["a"]))
-    return rows.select(*by, "at", value.alias("value"))
+    return found.select(*by, "at", value.alias("value"))
 
 
 def chunk(df: DataFrame, ts: str, start: str, end: str) -> DataFrame:
     """Rows of the window (start, end]."""
     return df.where((F.col(ts) > F.lit(start).cast("timestamp_ntz")) & (F.col(ts) <= F.lit(end).cast("timestamp_ntz")))
+
+
+def infer_bounds(df: DataFrame, by: list[str], value: str, stamp: str = "end") -> DataFrame:
+    """(by, value, lower, upper): bounds of steps that are known by their end, start or centre.
+
+    The first (or last) one is as long as the step between the first two; around centres half of that lies on either side,
+    and a step of an odd number raises.  A series of one time has a step of 1.
+    """
+    w = Window.partitionBy(*by).orderBy(value)
+    step = join_by(df.select(*by, value).distinct(), df.select(*by, value).distinct().groupBy(*by).agg(F.slice(F.array_sort(F.collect_set(value)), 1, 2).alias("__two")), by)
+    step = step.withColumn("__d", F.coalesce(F.try_element_at("__two", F.lit(2)) - F.element_at("__two", 1), F.lit(1)).cast("long"))
+    v = F.col(value)
+    if stamp == "end":
+        lower, upper = F.coalesce(F.lag(v).over(w), v - F.col("__d")), v
+    elif stamp == "start":
+        lower, upper = v, F.coalesce(F.lead(v).over(w), v + F.col("__d"))
+    elif stamp == "centre":
+        half = F.when(F.col("__d") % 2 == 0, F.floor(F.col("__d") / 2)).otherwise(F.raise_error(F.lit("bounds around centres need an even step")))
+        lower, upper = v - half, v + half
+    else:
+        raise ValueError(f"no place of a time stamp: {stamp}")
+    return step.withColumn("lower", lower).withColumn("upper", upper).select(*by, value, "lower", "upper")
+
+
+def infer_step(df: DataFrame, by: list[str], ts: str) -> DataFrame:
+    """(by, step): hourly, daily, a whole number of hours, monthly or yearly where all times start such a period, varying, or none for one time."""
+    t = F.col(ts)
+    gaps = df.select(*by, t, (F.unix_timestamp(t.cast("timestamp")) - F.unix_timestamp(F.lag(t).over(Window.partitionBy(*by).orderBy(t)).cast("timestamp"))).alias("__g"))
+    new = lambda unit: F.min((F.date_trunc(unit, t).cast("timestamp_ntz") == t).cast("int"))
+    out = gaps.groupBy(*by).agg(F.min("__g").alias("a"), F.max("__g").alias("b"), new("month").alias("m"), new("year").alias("y"))
+    same = F.when(F.col("a") == 86400, "daily").when(F.col("a") == 3600, "hourly").when(F.col("a") % 3600 == 0, F.floor(F.col("a") / 3600).cast("string")).otherwise("varying")
+    step = F.when(F.col("a").isNull(), "none").when(F.col("a") == F.col("b"), same).when(F.col("y") == 1, "yearly").when(F.col("m") == 1, "monthly").otherwise("varying")
+    return out.select(*by, step.alias("step"))
+
+
+def units_for(step: str, stamp: str = "end") -> str:
+    """The coarsest unit in which time stamps of such steps are whole numbers."""
+    hours = int(step) if step.isdigit() else {"hourly": 1, "daily": 24}.get(step)
+    if stamp == "centre":
+        return "minutes" if hours is not None and hours % 2 else "hours"
+    return "days" if step in ("monthly", "yearly") or (hours is not None and hours % 24 == 0) else "hours"
+
+
+def time_values(previous: Column, now: Column, units: str, stamp: str = "end") -> Column:
+    """struct(lower, upper, stamp): a step's numbers in ``units``."""
+    a, b = F.round(encode_time(previous, units)).cast("long"), F.round(encode_time(now, units)).cast("long")
+    at = {"start": a, "end": b, "centre": F.floor((a + b) / 2)}[stamp]
+    return F.struct(a.alias("lower"), b.alias("upper"), at.cast("long").alias("stamp"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gridbrook.functions import scalars as sc
 from gridbrook.functions import statistics as st
-from gridbrook.operators import calibrate, graph, grid, nearest, sequence, timeaxis
+from gridbrook.operators import graph, grid, nearest, sequence, timeaxis
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -46,7 +46,7 @@ CELLS = """cells AS (
     SELECT (l_partkey % 64 + 1)::INTEGER AS i, (l_suppkey % 48 + 1)::INTEGER AS j, l_extendedprice, l_quantity FROM lineitem
   ) WHERE (i * 7 + j * 3) % 5 <> 0 GROUP BY i, j
 ), f AS (
-  SELECT *, (i - 1) // 4 + 1 AS ci, (j - 1) // 4 + 1 AS cj, cos(radians(40.0 + j * 0.25 - 0.125)) AS w, (j - 1) * 64 + i AS id FROM cells
+  SELECT *, (i - 1) // 4 + 1 AS ci, (j - 1) // 4 + 1 AS cj, cos(radians(40.0 + j * 0.25 - 0.125)) AS w, (j - 1) * 64 + i AS id, max(klass) OVER (PARTITION BY (i - 1) // 4, (j - 1) // 4) AS top FROM cells
 )"""
 
 
@@ -71,6 +71,9 @@ _up("up_var_count", "var_pop(value)", op="var", weight="count")
 _up("up_std_count", "stddev_pop(value)", op="std", weight="count")
 _up("up_median", "median(value)", op="median")
 _up("up_fraction", "sum(CASE WHEN klass = 2 THEN w ELSE 0 END) / sum(w)", op="fraction", column="klass", class_id=2)
+_up("up_a_mean_whole", "sum(w * klass) / sum(w)", op="a_mean", column="klass")
+_up("up_maxloc_first", "min(CASE WHEN klass = top THEN id END)", cast="long", op="maxloc", column="klass")
+_up("up_maxloc_last", "max(CASE WHEN klass = top THEN id END)", cast="long", op="maxloc", column="klass", back=True)
 _up("up_maxloc", "arg_max(id, value)", cast="long", op="maxloc")
 _up("up_minloc", "arg_min(id, value)", cast="long", op="minloc")
 
@@ -162,15 +165,9 @@ def _(spark, d):
     return _cells(spark, d).select("i", "j", _r(SPEC.area() / 1e6).alias("area"))
 
 
-@_add("fill_missing", f"""WITH {CELLS}, a AS (SELECT * FROM cells WHERE i <= 16 AND j <= 12), b AS (SELECT * FROM a WHERE klass <> 0),
-p AS (SELECT a.i, a.j, b.value, row_number() OVER (PARTITION BY a.i, a.j ORDER BY (a.i - b.i) * (a.i - b.i) + (a.j - b.j) * (a.j - b.j), b.j, b.i) AS k FROM a, b)
+@_add("fill_missing", f"""WITH {CELLS}, b AS (SELECT * FROM cells WHERE klass <> 0),
+p AS (SELECT a.i, a.j, b.value, row_number() OVER (PARTITION BY a.i, a.j ORDER BY (a.i - b.i) * (a.i - b.i) + (a.j - b.j) * (a.j - b.j), b.j, b.i) AS k FROM cells a, b)
 SELECT i, j, round(value, 6) AS value FROM p WHERE k = 1""")
-def _(spark, d):
-    cells = _cells(spark, d).where("i <= 16 and j <= 12")
-    return nearest.fill_missing(cells, cells.where("klass <> 0").select("i", "j", "value")).select("i", "j", _r(F.col("value"), 6).alias("value"))
-
-
-@_add("fill_missing_all")
 def _(spark, d):
     cells = _cells(spark, d)
     return nearest.fill_missing(cells, cells.where("klass <> 0").select("i", "j", "value")).select("i", "j", _r(F.col("value"), 6).alias("value"))
@@ -289,12 +286,17 @@ def _(spark, d):
     return st.histogram(_items(spark, d), "x", 20, 5000.0, 85000.0)
 
 
-@_add("linfit", """WITH s AS (SELECT l_returnflag, regr_slope(l_extendedprice, l_quantity) b, regr_intercept(l_extendedprice, l_quantity) a, stddev_pop(l_extendedprice) / stddev_pop(l_quantity) * sign(covar_pop(l_extendedprice, l_quantity)) b2 FROM lineitem GROUP BY 1)
-SELECT l_returnflag, round(a, 4) AS a, round(b, 4) AS b, round(b2, 4) AS b2 FROM s""")
+@_add("linfit", """WITH s AS (SELECT l_returnflag, count(*) n, avg(l_quantity) mx, avg(l_extendedprice) my, var_pop(l_quantity) * count(*) sxx, var_pop(l_extendedprice) * count(*) syy, covar_pop(l_extendedprice, l_quantity) * count(*) sxy FROM lineitem GROUP BY 1),
+e AS (SELECT *, sxy / sxx AS b, sign(sxy) * sqrt(syy / sxx) AS b2, (syy - sxy * sxy / sxx) / (n - 2) AS yx, (sxx - sxy * sxy / syy) / (n - 2) AS xy FROM s)
+SELECT l_returnflag, round(my - b * mx, 4) AS a, round(b, 4) AS b, round(sqrt(yx * (1.0 / n + mx * mx / sxx)), 4) AS siga, round(sqrt(yx / sxx), 4) AS sigb, round((syy - b * sxy) / 1e9, 4) AS chi2,
+round(my - b2 * mx, 4) AS a2, round(b2, 4) AS b2, round(sqrt(yx * (1.0 / n + mx * mx / sxx) + b2 * b2 * xy / n), 4) AS siga2, round((syy - 2 * b2 * sxy + b2 * b2 * sxx) / 1e9, 4) AS chi22 FROM e""")
 def _(spark, d):
     q = _t(spark, d, "lineitem").groupBy("l_returnflag")
     x, y = F.col("l_quantity"), F.col("l_extendedprice")
-    return q.agg(st.linfit(x, y).alias("f"), st.linfit(x, y, True).alias("g")).select("l_returnflag", _r(F.col("f.a")).alias("a"), _r(F.col("f.b")).alias("b"), _r(F.col("g.b")).alias("b2"))
+    f, g = F.col("f"), F.col("g")
+    return q.agg(st.linfit(x, y).alias("f"), st.linfit(x, y, True).alias("g")).select(
+        "l_returnflag", *(_r(f[k]).alias(k) for k in ("a", "b", "siga", "sigb")), _r(f["chi2"] / 1e9).alias("chi2"), *(_r(g[k]).alias(f"{k}2") for k in ("a", "b", "siga")), _r(g["chi2"] / 1e9).alias("chi22")
+    )
 
 
 @_add("similarity_pd", f"""WITH {CELLS}, p AS (SELECT a.i, a.j, count(*) n, sum(CASE WHEN (b.value > a.value) <> (b.klass > a.klass) THEN 1 ELSE 0 END) dd, sum(CASE WHEN b.value > a.value THEN 1 ELSE 0 END) na, sum(CASE WHEN b.klass > a.klass THEN 1 ELSE 0 END) nb
@@ -364,16 +366,29 @@ def _(spark, d):
     return sequence.newton_cotes(_daily(spark, d), ["l_returnflag"], "day", "q").select("l_returnflag", _r(F.col("integral")).alias("integral"))
 
 
-@_add("eckhardt", f"""WITH RECURSIVE {DAILY}, k AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY day) AS k FROM s WHERE day < DATE '1996-01-01'),
-r AS (SELECT l_returnflag, day, k, q * 0.8 AS b FROM k WHERE k = 1 UNION ALL SELECT k.l_returnflag, k.day, k.k, least(k.q, (0.2 * 0.98 * r.b + 0.02 * 0.8 * k.q) / (1 - 0.98 * 0.8)) FROM r JOIN k ON k.l_returnflag = r.l_returnflag AND k.k = r.k + 1)
-SELECT l_returnflag, day, round(b, 6) AS baseflow FROM r""")
+CEILING = f"""{DAILY}, w AS (SELECT *, avg(q) OVER (PARTITION BY l_returnflag ORDER BY day ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS w FROM s),
+o AS (SELECT l_returnflag, w, row_number() OVER (PARTITION BY l_returnflag ORDER BY w) AS i, 0.5 + 0.2 * count(*) OVER (PARTITION BY l_returnflag) AS place FROM w),
+p AS (SELECT l_returnflag, max(CASE WHEN i = floor(place) THEN w END) AS a, max(CASE WHEN i = ceil(place) THEN w END) AS b, any_value(place - floor(place)) AS f FROM o GROUP BY 1),
+t AS (SELECT l_returnflag, any_value(a + (b - a) * f) * count(*) / sum(q) AS top FROM s JOIN p USING (l_returnflag) GROUP BY 1)"""
+BASEFLOW = f"""{CEILING}, k AS (SELECT s.*, top, row_number() OVER (PARTITION BY l_returnflag ORDER BY day) AS k FROM s JOIN t USING (l_returnflag)),
+r AS (SELECT l_returnflag, day, k, q, (1 - 0.98) * top * q / (1 - 0.98 * top) AS b FROM k WHERE k = 1
+UNION ALL SELECT k.l_returnflag, k.day, k.k, k.q, ((1 - top) * 0.98 * r.b + (1 - 0.98) * top * k.q) / (1 - 0.98 * top) FROM r JOIN k ON k.l_returnflag = r.l_returnflag AND k.k = r.k + 1)"""
+
+
+@_add("baseflow_ceiling", f"WITH {CEILING} SELECT l_returnflag, round(top, 6) AS bfi_max FROM t")
 def _(spark, d):
-    return sequence.eckhardt(_daily(spark, d).where("day < date '1996-01-01'"), ["l_returnflag"], "day", "q", 0.98, 0.8).select("l_returnflag", "day", _r(F.col("baseflow"), 6).alias("baseflow"))
+    return sequence.baseflow_ceiling(_daily(spark, d), ["l_returnflag"], "day", "q").select("l_returnflag", _r(F.col("bfi_max"), 6).alias("bfi_max"))
 
 
-@_add("eckhardt_all")
+@_add("eckhardt", f"WITH RECURSIVE {BASEFLOW} SELECT l_returnflag, day, round(b, 6) AS baseflow FROM r")
 def _(spark, d):
-    return sequence.eckhardt(_daily(spark, d), ["l_returnflag"], "day", "q", 0.98, 0.8).select("l_returnflag", "day", _r(F.col("baseflow"), 6).alias("baseflow"))
+    return sequence.eckhardt(_daily(spark, d), ["l_returnflag"], "day", "q", 0.98).select("l_returnflag", "day", _r(F.col("baseflow"), 6).alias("baseflow"))
+
+
+@_add("baseflow_index", f"WITH RECURSIVE {BASEFLOW} SELECT l_returnflag, round(sum(b) / sum(q), 6) AS bfi FROM r GROUP BY 1")
+def _(spark, d):
+    base = sequence.eckhardt(_daily(spark, d), ["l_returnflag"], "day", "q", 0.98)
+    return base.groupBy("l_returnflag").agg(_r(sequence.baseflow_index(F.col("q"), F.col("baseflow")), 6).alias("bfi"))
 
 
 @_add("eckhardt_fit")
@@ -493,7 +508,7 @@ for _m, _f in {"previous": "pv", "nearest": "CASE WHEN na IS NULL OR p.us - pa <
 
     @_add(f"asof_{_m}", f"WITH {BOTH} SELECT event_type, p.us, round({_f}, 6) AS value FROM p JOIN n USING (event_type, us)")
     def _(spark, d, m=_m):
-        return timeaxis.resample_instants(*_instants(spark, d), ["event_type"], m).select("event_type", F.col("at").alias("us"), _r(F.col("value"), 6).alias("value"))
+        return timeaxis.resample_instants(*_instants(spark, d), ["event_type"], m, bucket=86_400_000_000).select("event_type", F.col("at").alias("us"), _r(F.col("value"), 6).alias("value"))
 
 
 @_add("time_chunk", "SELECT o_orderkey FROM orders WHERE o_orderdate > TIMESTAMP '1995-01-01' AND o_orderdate <= TIMESTAMP '1995-03-01'")
@@ -531,7 +546,7 @@ def _(spark, d):
     return _t(spark, d, "part").select("p_partkey", _r(sc.polynomial(c, x), 6).alias("value"), _r(sc.polynomial(sc.derivative(c), x), 6).alias("slope"))
 
 
-@_add("polygon_area", "SELECT p_partkey, round(p_size * (p_size + 1) / 2.0, 4) AS area, 1 AS turn, round(p_size / 3.0, 4) AS cx FROM part")
+@_add("polygon_area", "SELECT p_partkey, round(p_size * (p_size + 1) / 2.0, 4) AS area, -1 AS turn, round(p_size / 3.0, 4) AS cx FROM part")
 def _(spark, d):
     corner = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
     zero, s = F.lit(0.0), F.col("p_size")
@@ -589,20 +604,12 @@ def _(spark, d):
     return graph.subgraph(_network(spark, d)[1], spark.range(5, 6))
 
 
-@_add("calibrate_dds")
-def _(spark, d):
-    """Slope and intercept that minimise the root mean square error, found by a search; SQL can't express it."""
-    data = _t(spark, d, "lineitem").select((F.col("l_extendedprice") / 1e4).alias("y"), F.col("l_quantity"))
-    cost = calibrate.spark_objective(data, lambda p: p[0] + p[1] * F.col("l_quantity"), "y", st.rmse)
-    best, value = calibrate.nelder_mead(cost, [0.0, 0.1], step=0.5, tolerance=1e-4, evaluations=60)
-    return spark.createDataFrame([(round(float(best[0]), 2), round(float(best[1]), 2), round(value, 2))], "a double, b double, cost double")
-
-
 def queries() -> dict:
+    from gridbrook.plans import grid_queries, series_queries, source_queries  # noqa: F401  (they register their own)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
+    queries()
     return dict(ORACLE)
-
-

@@ -92,15 +92,50 @@ def write_ascii_grid(cells: DataFrame, spec: GridSpec, path: str, missing: float
             f.write(row["line"] + "\n")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, value): the lines of one file that aren't blank, numbered from 1.
+
+    Blocks of the file are read in parallel; each one's lines are counted, and the counts (a row a block) give the
+    number of its first line.
+    """
+    at = F.col("_metadata.file_block_start")
+    lines = spark.read.text(path).select(at.alias("block"), F.monotonically_increasing_id().alias("id"), "value").where(F.trim("value") != "")
+    counts = lines.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    starts = counts.select("block", "first", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("block").orderBy("id"))
+    return lines.withColumn("k", within).join(F.broadcast(starts), "block").select((F.col("before") + F.col("k")).alias("line"), "value")
+
+
 def load_text(spark: SparkSession, path: str, skip: int = 0, rows: int | None = None) -> DataFrame:
-    """(row, v): a matrix of numbers separated by white space, rows from 1 in the order of the file."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), F.split(F.trim("value"), r"\s+").alias("w")).where("size(w) > 0 and w[0] <> ''")
-    out = lines.withColumn("row", F.row_number().over(Window.orderBy("at")) - skip).where("row > 0")
+    """(row, v): a matrix of numbers separated by white space, rows from 1 in the order of the file, blank lines left out."""
+    out = numbered_lines(spark, path).select((F.col("line") - skip).alias("row"), F.split(F.trim("value"), r"\s+").alias("w")).where("row > 0")
     if rows is not None:
         out = out.where(F.col("row") <= rows)
     return out.select("row", F.transform("w", lambda x: x.cast("double")).alias("v"))
 
 
+def read_ascii_grid(spark: SparkSession, path: str, spherical: bool = False) -> tuple[DataFrame, GridSpec]:
+    """(i, j, value) of the active cells and the grid, from any store that Spark reads; blocks of the file in parallel."""
+    lines = numbered_lines(spark, path)
+    head = {}
+    for row in lines.where("line <= 6").orderBy("line").collect():
+        word = row["value"].split()
+        if word[0].lower() in HEADER:
+            head[word[0].lower()] = float(word[1])
+    missing = {"ncols", "nrows", "xllcorner", "yllcorner", "cellsize"} - set(head)
+    if missing:
+        raise ValueError(f"{path}: header lacks {sorted(missing)}")
+    spec = GridSpec(int(head["ncols"]), int(head["nrows"]), head["xllcorner"], head["yllcorner"], head["cellsize"], spherical, top_down=True)
+    rows = lines.where(F.col("line") > len(head)).select((F.col("line") - len(head)).cast("int").alias("j"), F.posexplode(F.split(F.trim("value"), r"\s+")).alias("k", "w"))
+    value = F.col("w").cast("double")
+    return rows.select((F.col("k") + 1).alias("i"), "j", value.alias("value")).where(F.col("value") != head.get("nodata_value", -9999.0)), spec
+
+
+def write_text(df: DataFrame, row: str, v: str, path: str) -> None:
+    """A matrix of numbers as text, a folder of parts in the order of the rows."""
+    df.repartitionByRange(row).sortWithinPartitions(row).select(F.array_join(F.transform(v, lambda x: x.cast("string")), " ").alias("value")).write.mode("overwrite").text(path)
+
+
 def shape(spark: SparkSession, path: str) -> tuple[int, int]:
     found = spark.read.text(path).where(F.trim("value") != "").agg(F.count(F.lit(1)), F.max(F.size(F.split(F.trim("value"), r"\s+")))).first()
     return found[0], found[1] or 0
