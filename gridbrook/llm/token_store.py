@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridbrook.llm.pretokens import load, public_path
-from gridbrook.llm.shared import save
+from gridbrook.llm.pretokens import BYTE_CHAR, load, public_path
+from gridbrook.llm.shared import in_batches, save
 
 BLOCK, PERCENT, SEGMENT_IDS, MOST_PARTS = 128, 90, 1 << 20, 500_000
 HEAD = struct.Struct("<4sIQQQQ")
@@ -132,58 +132,58 @@ class Segment:
         return out.ravel()[first - b0 * BLOCK : last - b0 * BLOCK]
 
 
+#: Latin-1 characters to those that stand for their bytes.
+_BYTE_OF = {b: c for b, c in enumerate(BYTE_CHAR) if chr(b) != c}
+
+
 class Encoder:
-    """Ids of whole texts; words that the bounded table doesn't hold go to the library, many at a time."""
+    """Ids of whole texts as the library gives them; the library's model encodes the words that a bounded table doesn't hold.
+
+    Texts with special tokens, and all texts where a file has other rules than byte-level pre-splitting, go to the library whole.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.file = load(path)
-        self.library = self.file.library
+        self.file, self.most = load(path), most
+        self.library, self.model = self.file.library, self.file.library.model
         self.words: dict[str, bytes] = {}
-
-    def learn(self, words: list[str]) -> None:
-        """Put ``words`` into the table; spaced ones are one text for the library, which splits it at the spaces."""
-        spaced = [w for w in words if w[0] == " " and w[1:].isalpha()]
-        rest = [w for w in words if not (w[0] == " " and w[1:].isalpha())]
-        if spaced:
-            told = self.library.encode("".join(spaced), add_special_tokens=False)
-            ids, owner = np.array(told.ids, "<u4"), np.array(told.word_ids)
-            starts = np.flatnonzero(np.diff(owner, prepend=-1)).tolist()
-            if len(starts) == len(spaced):
-                raw = ids.tobytes()
-                self.words.update(zip(spaced, [raw[4 * i : 4 * j] for i, j in zip(starts, [*starts[1:], len(ids)])]))
-            else:
-                rest = words
-        for w, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False)):
-            self.words[w] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str | None], most: int = 600_000) -> list[bytes]:
-        plan = []
-        for text in texts:
-            for part, special in self.file.segments(text or ""):
-                plan.append(special.to_bytes(4, "little") if special is not None else self.file.pieces(part))
-            plan.append(None)
-        table = self.words
-        seen = set()
-        seen.update(*(p for p in plan if isinstance(p, list)))
-        new = [w for w in seen if w not in table]
-        if len(table) + len(new) > most:
+        self.raw = [i.to_bytes(4, "little") for i in range(max(self.file.vocab.values()) + 1)]
+
+    def _word(self, word: str) -> bytes:
+        bare = word[1:]
+        plain = word[0] == " " and bare.isascii() and bare.isalnum()
+        told = BYTE_CHAR[32] + bare if plain else word.encode("utf-8", "surrogateescape").decode("latin-1").translate(_BYTE_OF)
+        raw = self.raw
+        return b"".join([raw[t.id] for t in self.model.tokenize(told)])
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without special tokens."""
+        words, ends, table = [], [0], self.words
+        if len(table) >= self.most:
             table.clear()
-            new = list(seen)
-        if new:
-            self.learn(new)
-        out, parts = [], []
-        for p in plan:
-            if p is None:
-                out.append(b"".join(parts))
-                parts = []
-            elif isinstance(p, bytes):
-                parts.append(p)
-            else:
-                parts += map(table.__getitem__, p)
-        for w in new:
-            if len(w) > 200:
-                table.pop(w, None)
+        for text in texts:
+            words += self.file.pieces(text)
+            ends.append(len(words))
+        found = list(map(table.get, words))
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            word = words[i]
+            ids = table.get(word)
+            if ids is None:
+                ids = self._word(word)
+                if len(word) <= 200:
+                    table[word] = ids
+            found[i] = ids
+        return [b"".join(found[a:b]) for a, b in zip(ends, ends[1:])]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        out = [b""] * len(texts)
+        whole = [k for k, t in enumerate(texts) if t and (not self.file.byte_level or any(s in t for s in self.file.special))]
+        left = set(whole)
+        plain = [k for k, t in enumerate(texts) if t and k not in left]
+        for k, ids in zip(plain, self._plain([texts[k] for k in plain])):
+            out[k] = ids
+        for k, e in zip(whole, self.library.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False) if whole else ()):
+            out[k] = np.array(e.ids, "<u4").tobytes()
         return out
 
 
@@ -209,8 +209,8 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seg": pa.array([seg], pa.int32()), "n_ids": pa.array([len(values)], pa.int64()), "payload": pa.array([write_segment(ids, lengths, values)], pa.binary())})
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                some = batch.slice(at, 128)
+            for at in range(0, batch.num_rows, 32):
+                some = batch.slice(at, 32)
                 for doc_id, one in zip(some.column(0).to_pylist(), enc.encode(some.column(1).to_pylist())):
                     one += end
                     ids.append(doc_id)
@@ -224,7 +224,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
             yield flush()
 
     ordered = docs.selectExpr("cast(doc_id as long) doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return save(ordered.mapInArrow(run, "part int, seg int, n_ids long, payload binary"), "tokens")
+    return save(in_batches(ordered, run, "part int, seg int, n_ids long, payload binary"), "tokens")
 
 
 def read_tokens(segments: DataFrame) -> DataFrame:
@@ -249,7 +249,7 @@ def read_tokens(segments: DataFrame) -> DataFrame:
                     "ids_crc32": pa.array([zlib.crc32(values[a:b].tobytes()) for a, b in zip(begins, ends)], pa.int64()),
                 })
 
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return in_batches(placed, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, path: str | None = None, end_id: int = 0) -> DataFrame:
