@@ -132,7 +132,8 @@ def nelder_mead(objective: Objective, start, step=0.1, tolerance: float = 1e-10,
     start = np.array(start, float)
     points = np.array([inside(start)] + [inside(start + np.eye(len(start))[k] * (step if np.isscalar(step) else step[k])) for k in range(len(start))])
     costs, used = objective(points), len(points)
-    while used < evaluations and costs.max() - costs.min() > tolerance:
+    # equal costs on both sides of a valley are no end: the simplex must be small too
+    while used < evaluations and (costs.max() - costs.min() > tolerance or (np.ptp(points, axis=0) > math.sqrt(tolerance) * (1 + np.abs(points[0]))).any()):
         order = np.argsort(costs)
         points, costs = points[order], costs[order]
         centre, worst = points[:-1].mean(axis=0), points[-1]

@@ -456,14 +456,14 @@ def _(spark, d):
 
 @_add("argmax_argmin", "SELECT o_orderstatus, arg_max(o_orderkey, o_totalprice) AS imax, arg_min(o_orderkey, o_totalprice) AS imin FROM orders GROUP BY 1")
 def _(spark, d):
-    return _t(spark, d, "orders").groupBy("o_orderstatus").agg(F.max_by("o_orderkey", "o_totalprice").alias("imax"), F.min_by("o_orderkey", "o_totalprice").alias("imin"))
+    return _t(spark, d, "orders").groupBy("o_orderstatus").agg(sequence.argmax("o_totalprice", "o_orderkey").alias("imax"), sequence.argmin("o_totalprice", "o_orderkey").alias("imin"))
 
 
 @_add("append_pad", "SELECT s_suppkey AS key, s_name AS name, s_acctbal AS balance, -9999 AS size FROM supplier UNION ALL SELECT p_partkey, p_name, -9999, p_size FROM part")
 def _(spark, d):
     a = _t(spark, d, "supplier").selectExpr("s_suppkey as key", "s_name as name", "s_acctbal as balance")
     b = _t(spark, d, "part").selectExpr("p_partkey as key", "p_name as name", "p_size as size")
-    return a.unionByName(b, allowMissingColumns=True).fillna(-9999, ["balance", "size"])
+    return sequence.append(a, b, -9999)
 
 
 # time

@@ -345,3 +345,41 @@ def _(spark, d):
     stream = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).parquet(f"{folder}/in")
     windows.run_once(windows.recession(stream, FLAG, "day", "q", 0.7, 0.3), f"{folder}/out", f"{folder}/state")
     return spark.read.parquet(f"{folder}/out").select("l_returnflag", "day", _r(F.col("state"), 6).alias("state"))
+
+
+# analytic test functions
+
+AB = "(SELECT s_suppkey, s_nationkey / 7.3 - 2 AS a, s_suppkey % 11 / 3.7 - 1 AS b, s_suppkey % 7 / 3.1 - 1 AS c, s_nationkey % 5 / 1.9 - 1 AS d FROM supplier)"
+TWO = {
+    "beale": "power(1.5 - a + a * b, 2) + power(2.25 - a + a * b * b, 2) + power(2.625 - a + a * b * b * b, 2)", "matyas": "0.26 * (a * a + b * b) - 0.48 * a * b", "leon_cubic_valley": "100 * power(b - a * a * a, 2) + power(1 - a, 2)",
+    "bohachevsky1": "a * a + 2 * b * b - 0.3 * cos(3 * pi() * a) - 0.4 * cos(4 * pi() * b) + 0.7", "bohachevsky2": "a * a + 2 * b * b - 0.3 * cos(3 * pi() * a) * cos(4 * pi() * b) + 0.3", "bohachevsky3": "a * a + 2 * b * b - 0.3 * cos(3 * pi() * a + 4 * pi() * b) + 0.3",
+    "schaffer_f6": "0.5 + (power(sin(sqrt(a * a + b * b)), 2) - 0.5) / power(1 + 0.001 * (a * a + b * b), 2)", "drop_wave": "-(1 + cos(12 * sqrt(a * a + b * b))) / (0.5 * (a * a + b * b) + 2)", "griewank": "(a * a + b * b) / 200 - cos(a) * cos(b / sqrt(2)) + 1",
+    "hump": "1.0316285 + 4 * a * a - 2.1 * power(a, 4) + power(a, 6) / 3 + a * b - 4 * b * b + 4 * power(b, 4)", "shubert": "(cos(2 * a + 1) + 2 * cos(3 * a + 2) + 3 * cos(4 * a + 3) + 4 * cos(5 * a + 4) + 5 * cos(6 * a + 5)) * (cos(2 * b + 1) + 2 * cos(3 * b + 2) + 3 * cos(4 * b + 3) + 4 * cos(5 * b + 4) + 5 * cos(6 * b + 5)) + 186.7309088310",
+    "levy": "power(sin(pi() * (3 + a) / 4), 2) + power((a - 1) / 4, 2) * (1 + 10 * power(sin(pi() * (3 + a) / 4 + 1), 2)) + power((b - 1) / 4, 2) * (1 + power(sin(2 * pi() * (3 + b) / 4), 2))", "quartic": "power(a, 4) + 2 * a * a + a + 3", "oscillatory_parabola": "a * a - 10 * sin(a * a - 3 * a + 2) + 9.9779149346",
+    "cosine_combo": "cos(a) + 5 * cos(1.6 * a) - 2 * cos(2 * a) + 5 * cos(4.5 * a) + 7 * cos(9 * a) + 14.6771885214", "penalty1": "0.00001 * (power(a - 1, 2) + power(b - 1, 2)) + power(a * a + b * b - 0.25, 2)",
+    "schwefel": "-a * sin(sqrt(abs(a))) - b * sin(sqrt(abs(b))) + 837.9657745448676", "hilbert": "a * a + a * b + b * b / 3", "rotated_hyper_ellipsoid": "a * a + power(a + b, 2)", "axis_parallel_hyper_ellips": "a * a + 2 * b * b",
+}
+FOUR = {
+    "wood": "100 * power(b - a * a, 2) + power(1 - a, 2) + 90 * power(d - c * c, 2) + power(1 - c, 2) + 10 * power(b + d - 2, 2) + 0.1 * power(b - d, 2)",
+    "colville_polynomial": "100 * power(b - a * a, 2) + power(1 - a, 2) + 90 * power(d - c * c, 2) + power(1 - c, 2) + 10.1 * (power(b - 1, 2) + power(d - 1, 2)) + 19.8 * (b - 1) * (d - 1)",
+    "ext_powell_singular_quartic": "power(a + 10 * b, 2) + 5 * power(c - d, 2) + power(b - 2 * c, 4) + 10 * power(a - d, 4)",
+    "shekel_sqrn5": "10.1527236935 - 1 / (0.1 + power(a - 4, 2) + power(b - 4, 2) + power(c - 4, 2) + power(d - 4, 2)) - 1 / (0.2 + power(a - 1, 2) + power(b - 1, 2) + power(c - 1, 2) + power(d - 1, 2)) - 1 / (0.2 + power(a - 8, 2) + power(b - 8, 2) + power(c - 8, 2) + power(d - 8, 2)) - 1 / (0.4 + power(a - 6, 2) + power(b - 6, 2) + power(c - 6, 2) + power(d - 6, 2)) - 1 / (0.6 + power(a - 3, 2) + power(b - 7, 2) + power(c - 3, 2) + power(d - 7, 2))",
+    "gregory_karney_tridia_matrix": "a * a + 2 * (b * b + c * c + d * d) - 2 * (a * b + b * c + c * d) - 2 * a + 4",
+    "trigonometric": "power(5 - sin(a) - (cos(a) + cos(b) + cos(c) + cos(d)) - cos(a), 2) + power(6 - sin(b) - (cos(a) + cos(b) + cos(c) + cos(d)) - 2 * cos(b), 2) + power(7 - sin(c) - (cos(a) + cos(b) + cos(c) + cos(d)) - 3 * cos(c), 2) + power(8 - sin(d) - (cos(a) + cos(b) + cos(c) + cos(d)) - 4 * cos(d), 2)",
+    "variably_dimensioned": "power(a - 1 + 2 * (b - 1) + 3 * (c - 1) + 4 * (d - 1), 2) * (1 + power(a - 1 + 2 * (b - 1) + 3 * (c - 1) + 4 * (d - 1), 2)) + power(a - 1, 2) + power(b - 1, 2) + power(c - 1, 2) + power(d - 1, 2)",
+}
+
+
+def _functions(name: str, table: dict, width: int) -> None:
+    @_add(name, f"SELECT s_suppkey, {', '.join(f'round(({sql})::DOUBLE, 7) AS {k}' for k, sql in table.items())} FROM {AB}")
+    def run(spark, d):
+        from gridbrook.functions import test_functions
+
+        k, n = F.col("s_suppkey"), F.col("s_nationkey")
+        xs = [n / 7.3 - 2, k % 11 / 3.7 - 1, k % 7 / 3.1 - 1, n % 5 / 1.9 - 1][:width]
+        every = test_functions.register()
+        return _t(spark, d, "supplier").select("s_suppkey", *(_r(every[f](xs), 7).alias(f) for f in table))
+
+
+_functions("test_functions_of_two", TWO, 2)
+_functions("test_functions_of_four", FOUR, 4)

@@ -14,20 +14,35 @@ from gridbrook.operators.grid import GridSpec
 HEADER = ("ncols", "nrows", "xllcorner", "yllcorner", "cellsize", "nodata_value")
 
 
+def _lines(path: str, start: int = 0):
+    """Lines of a file in any store that ``pyarrow.fs`` knows, from a byte on, each with the byte where it starts."""
+    from pyarrow.fs import FileSystem
+
+    fs, at = FileSystem.from_uri(path if "://" in path else path.replace("file:", "", 1))
+    with fs.open_input_file(at) as f:
+        f.seek(start)
+        rest, place = b"", start
+        while block := f.read(1 << 20):
+            *whole, rest = (rest + block).split(b"\n")
+            for line in whole:
+                yield place, line.decode("utf-8")
+                place += len(line) + 1
+        if rest:
+            yield place, rest.decode("utf-8")
+
+
 def read_header(path: str) -> tuple[dict, int]:
-    """Values of an ASCII grid's header, and how many lines it has."""
-    out, n = {}, 0
-    with open(path) as f:
-        for line in f:
-            word = line.split()
-            if not word or word[0].lower() not in HEADER:
-                break
-            out[word[0].lower()] = float(word[1])
-            n += 1
+    """Values of an ASCII grid's header, and the byte where its rows start."""
+    out, at = {}, 0
+    for at, line in _lines(path):
+        word = line.split()
+        if not word or word[0].lower() not in HEADER:
+            break
+        out[word[0].lower()] = float(word[1])
     missing = {"ncols", "nrows", "xllcorner", "yllcorner", "cellsize"} - set(out)
     if missing:
         raise ValueError(f"{path}: header lacks {sorted(missing)}")
-    return out, n
+    return out, at
 
 
 def grid_spec(path: str, spherical: bool = False) -> GridSpec:
@@ -36,8 +51,8 @@ def grid_spec(path: str, spherical: bool = False) -> GridSpec:
 
 
 class _Rows(InputPartition):
-    def __init__(self, first: int, last: int):
-        self.first, self.last = first, last
+    def __init__(self, first: int, last: int, at: int):
+        self.first, self.last, self.at = first, last, at
 
 
 class AsciiGridReader(DataSourceReader):
@@ -45,21 +60,20 @@ class AsciiGridReader(DataSourceReader):
         self.path, self.size = options["path"], int(options.get("rowsperpartition", 1000))
 
     def partitions(self):
-        rows = int(read_header(self.path)[0]["nrows"])
-        return [_Rows(a, min(rows, a + self.size)) for a in range(0, rows, self.size)] or [_Rows(0, 0)]
+        """Row ranges with the bytes where they start, found by one pass over the line ends; ``read_ascii_grid`` needs none."""
+        head, start = read_header(self.path)
+        rows = int(head["nrows"])
+        if rows <= self.size:
+            return [_Rows(0, rows, start)]
+        places = [at for k, (at, _) in enumerate(_lines(self.path, start)) if k < rows and k % self.size == 0]
+        return [_Rows(k * self.size, min(rows, (k + 1) * self.size), at) for k, at in enumerate(places)]
 
     def read(self, partition):
-        head, skip = read_header(self.path)
-        missing = head.get("nodata_value", -9999.0)
-        with open(self.path) as f:
-            for k, line in enumerate(f):
-                j = k - skip
-                if j >= partition.last:
-                    break
-                if j >= partition.first:
-                    for i, word in enumerate(line.split(), 1):
-                        if float(word) != missing:
-                            yield i, j + 1, float(word)
+        missing = read_header(self.path)[0].get("nodata_value", -9999.0)
+        for j, (_, line) in zip(range(partition.first, partition.last), _lines(self.path, partition.at)):
+            for i, word in enumerate(line.split(), 1):
+                if float(word) != missing:
+                    yield i, j + 1, float(word)
 
 
 class AsciiGrid(DataSource):

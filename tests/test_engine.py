@@ -11,7 +11,7 @@ from gridbrook.functions import scalars as sc
 from gridbrook.functions import statistics as st
 from gridbrook.operators import calibrate, graph, grid, nearest, sequence, timeaxis
 from gridbrook.plans import catalog
-from gridbrook.sources import files
+from gridbrook.sources import datasets, files, netcdf
 from gridbrook.streaming import windows
 
 DATA = "/root/testdata/sf0.001"
@@ -166,24 +166,225 @@ def test_sequences(spark):
     assert 0 <= fit.alpha <= 1 and 0 < fit.bfi_max <= 1
 
 
-def test_fill_missing_all(spark):
+def test_fill_missing(spark):
     cells = catalog._cells(spark, DATA).toPandas()
     known = cells[cells.klass != 0].sort_values(["j", "i"])
     d2 = (cells.i.to_numpy()[:, None] - known.i.to_numpy()) ** 2 + (cells.j.to_numpy()[:, None] - known.j.to_numpy()) ** 2
     want = dict(zip(zip(cells.i, cells.j), known.value.to_numpy()[d2.argmin(axis=1)]))
-    got = {(r.i, r.j): r.value for r in catalog.queries()["fill_missing_all"](spark, DATA).collect()}
+    got = {(r.i, r.j): r.value for r in catalog.queries()["fill_missing"](spark, DATA).collect()}
     assert got.keys() == want.keys() and max(i for i, _ in got) > 16 and all(abs(got[k] - want[k]) < 1e-5 for k in want)
 
 
-def test_eckhardt_all(spark):
-    days = catalog._daily(spark, DATA).toPandas().sort_values(["l_returnflag", "day"])
-    got = {(r.l_returnflag, r.day): r.baseflow for r in catalog.queries()["eckhardt_all"](spark, DATA).collect()}
-    assert len(got) == len(days)
-    for flag, rows in days.groupby("l_returnflag"):
-        b = None
-        for day, v in zip(rows.day, rows.q.astype(float)):
-            b = v * 0.8 if b is None else min(v, (0.2 * 0.98 * b + 0.02 * 0.8 * v) / (1 - 0.98 * 0.8))
-            assert abs(got[flag, day] - b) < 1e-5
+@pytest.mark.parametrize("top", [0.8, None])
+def test_baseflow(spark, top):
+    """Against a plain loop: the recurrence starts from 0, is not capped by the discharge, and passes over unknown days."""
+    rng = np.random.default_rng(5)
+    q = np.where(rng.random(300) < 0.1, np.nan, rng.gamma(2.0, 5.0, 300))
+    rows = [(k, t, None if np.isnan(v) else float(v * (k + 1))) for k in (0, 1) for t, v in enumerate(q)] + [(None, 0, 4.0)]
+    got = {(r.k, r.t): r.baseflow for r in sequence.eckhardt(spark.createDataFrame(rows, "k int, t int, q double"), ["k"], "t", "q", 0.97, top).collect()}
+    assert len(got) == len(rows)
+    known = q[~np.isnan(q)]
+    if top is None:
+        week = [np.nanmean(q[max(0, t - 3) : t + 4]) for t in range(300) if not np.isnan(q[t])]
+        place = 0.5 + 0.2 * len(week)
+        low, high = np.sort(week)[int(place) - 1], np.sort(week)[math.ceil(place) - 1]
+        top = (low + (high - low) * (place - int(place))) * len(known) / known.sum()
+    b = 0.0
+    for t, v in enumerate(q):
+        if np.isnan(v):
+            assert got[1, t] == 0
+        else:
+            b = ((1 - top) * 0.97 * b + 0.03 * top * 2 * v) / (1 - 0.97 * top)
+            assert got[1, t] == pytest.approx(b, rel=1e-9)
+    assert any(got[0, t] > v for t, v in enumerate(q) if not np.isnan(v))
+
+
+def test_nulls_stay(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("a", None), ("a", 3.0), ("a", 8.0), (None, 1.0), (None, 2.0), (None, 6.0)], "g string, x double")
+    ranks = {(r.g, r.x): r["rank"] for r in st.average_rank(rows, ["g"], "x", "rank").collect()}
+    assert len(ranks) == 7 and ranks["a", None] is None and ranks[None, 6.0] == 3 and ranks["a", 8.0] == 3
+    assert {(r.g, r.x): r["rank"] for r in sequence.dense_rank(rows, ["g"], "x").collect()} == {k: None if v is None else int(v) for k, v in ranks.items()}
+    assert sequence.multiplicity(rows, ["g"], "x").count() == 7 and sequence.standard_score(rows, ["g"], "x").where("score is not null").count() == 6
+    assert sequence.mad_clamp(rows, ["g"], "x").count() == 7 and sequence.mad(rows, ["g"], "x", "x").count() == 7
+    keep = sequence.mad(spark.createDataFrame([(0, 1.0), (1, None), (2, 2.0), (3, 2.5), (4, None)], "t int, x double"), [], "t", "x", 50.0, 1).orderBy("t").collect()
+    assert [r.keep for r in keep] == [False, False, True, False, True]
+    assert sequence.newton_cotes(spark.range(3).select("id", F.col("id").cast("double").alias("x")), [], "id", "x").first()[0] is None
+
+
+def test_linfit_second_model(spark):
+    x = np.array([1.0, 2.0, 3.0, 4.0, 6.0, 9.0])
+    y = np.array([2.0, 1.0, 4.0, 3.0, 8.0, 7.0])
+    f = spark.createDataFrame(list(zip(x.tolist(), y.tolist())), "x double, y double").agg(st.linfit(F.col("x"), F.col("y"), True).alias("f")).first().f
+    sxx, syy, sxy = ((x - x.mean()) ** 2).sum(), ((y - y.mean()) ** 2).sum(), ((x - x.mean()) * (y - y.mean())).sum()
+    b = math.copysign(math.sqrt(syy / sxx), sxy)
+    yx, xy = (syy - sxy**2 / sxx) / 4, (sxx - sxy**2 / syy) / 4
+    assert (f.a, f.b, f.sigb) == pytest.approx((y.mean() - b * x.mean(), b, math.sqrt(yx / sxx)))
+    assert f.siga == pytest.approx(math.sqrt(yx * (1 / 6 + x.mean() ** 2 / sxx) + b * b * xy / 6))
+
+
+def test_unknown_sources_and_zeros(spark):
+    s = spark.createDataFrame([(1, 0, 10, 4.0), (1, 10, 20, None)], "k int, lower long, upper long, value double")
+    t = spark.createDataFrame([(1, 0, 20), (2, 0, 10)], "t int, lower long, upper long")
+    assert {r.t: r.value for r in timeaxis.resample_intervals(s, t, ["k"], "mean").collect()} == {1: None, 2: 4.0}
+    cells = spark.createDataFrame([(1, 1, 0.0), (2, 1, 4.0)], "i int, j int, value double")
+    assert grid.upscale(cells, grid.GridSpec(2, 2), 2, "h_mean").first()["value"] == 0
+    ask = spark.createDataFrame([(1, 1.0, None), (2, 0.0, 0.0)], "target_id long, x double, y double")
+    src = spark.createDataFrame([(7, 0.0, 1.0), (None, 0.0, 0.0)], "source_id long, x double, y double")
+    for most in (0, 10):
+        assert {r.target_id: r.source_id for r in nearest.nearest(ask, src, ["x", "y"], most=most).collect()} == {1: None, 2: 7}
+    assert [r.source_id for r in nearest.nearest(ask, src.limit(0), ["x", "y"]).collect()] == [None, None]
+
+
+def test_asof_with_a_hot_series(spark):
+    """One series holds nearly all rows; buckets give the results of one window."""
+    rng = np.random.default_rng(2)
+    src = [(0, int(t), float(v)) for t, v in zip(rng.choice(100_000, 3000, False), rng.random(3000))] + [(1, 50, 1.0)]
+    ask = [(0, int(t)) for t in rng.choice(120_000, 3000, False) - 5000] + [(1, 10), (1, 90_000), (2, 5)]
+    s, t = spark.createDataFrame(src, "k int, at long, value double"), spark.createDataFrame(ask, "k int, at long")
+    for m in ("previous", "nearest", "linear"):
+        one, many = ({(r.k, r.at): r.value for r in timeaxis.resample_instants(s, t, ["k"], m, bucket=b).collect()} for b in (None, 700))
+        assert one == many and len(one) == len(ask)
+    ordered = sorted((a, v) for k, a, v in src if k == 0)
+    times = [a for a, _ in ordered]
+    for (k, at), v in {(r.k, r.at): r.value for r in timeaxis.resample_instants(s, t, ["k"], "previous", bucket=700).collect()}.items():
+        if k == 0:
+            n = np.searchsorted(times, at, "right")
+            assert v == (ordered[n - 1][1] if n else None)
+
+
+def test_graph_rounds_agree(spark):
+    rng = np.random.default_rng(3)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 200, (260, 2)) if a < b]
+    edges, nodes = spark.createDataFrame(pairs, "src long, dst long"), spark.range(200)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(graph.levels(nodes, edges)) == rows(graph.levels(nodes, edges, task_edges=0))
+    start = spark.createDataFrame([(3,), (50,)], "id long")
+    assert rows(graph.reach(edges, start)) == rows(graph.reach(edges, start, task_edges=0))
+    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    assert rows(graph.components(both)) == rows(graph.components(both, task_edges=0))
+    loop = edges.union(spark.createDataFrame([(7, 7), (None, 3)], "src long, dst long"))
+    assert (7,) not in [r[:1] for r in rows(graph.levels(nodes, loop))]
+    assert graph.traverse(edges, [3], lambda n: graph.STOP_ALL, down=True) == [3]
+
+
+def test_nearest_by_cells(spark):
+    rng = np.random.default_rng(4)
+    src = np.vstack([rng.normal(size=(200, 2)) * 0.01, rng.random((100, 2)) * 50, [[3.0, 3.0]] * 50])
+    ask = np.vstack([rng.random((80, 2)) * 60 - 5, [[500.0, -300.0]], src[:20]])
+    s = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(src)], "source_id long, x double, y double")
+    t = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(ask)], "target_id long, x double, y double")
+    want = {i: int(((src - p) ** 2).sum(axis=1).argmin()) for i, p in enumerate(ask)}
+    assert {r.target_id: r.source_id for r in nearest.nearest(t, s, ["x", "y"], most=0).collect()} == want
+    lonlat = lambda most: {r.target_id: r.source_id for r in nearest.nearest(t, s, ["x", "y"], lonlat=True, most=most).collect()}
+    assert lonlat(0) == lonlat(1000)
+
+
+def test_masks(spark):
+    whole = grid.GridSpec(8, 4, -180, -90, 45, spherical=True)
+    assert whole.periodic and {r.j for r in grid.border_mask(grid.full_index(spark, whole), whole).collect()} == {1, 4}
+    square = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)]
+    points = spark.createDataFrame([(1.0, 1.0), (2.0, 1.0), (3.0, 1.0), (0.0, 0.0)], "x double, y double")
+    assert [r[0] for r in points.select(grid.inside(F.col("x"), F.col("y"), square)).collect()] == [1, 0, -1, 0]
+    ring = spark.createDataFrame([(i, j) for i in range(1, 8) for j in range(1, 8) if max(abs(i - 4), abs(j - 4)) in (1, 3)], "i int, j int")
+    assert grid.connected_mask(ring, 3, 3).count() == 8 and grid.connected_mask(ring, 1, 1).count() == 24 and grid.connected_mask(ring, 4, 4).count() == 0
+
+
+def test_masked_goldens(spark):
+    a, b = [12, 4, 15, 17, 10, 2, 1, 11, 20], [7, 12, 5, 9, 11, 13, 12, 11, 7]
+    assert st.spaef(spark.createDataFrame([(float(x), float(y), k != 4) for k, (x, y) in enumerate(zip(a, b))], "x double, y double, m boolean"), "x", "y", "m").first()[0] is not None
+    assert sequence.boxcox(F.lit(-1.0), 0.5) is not None
+    assert spark.range(1).select(sequence.boxcox(F.lit(-1.0), 0.5)).first()[0] is None
+    neg = spark.createDataFrame([(-2, 3, 4), (2, 3, 4)], "y int, m int, d int")
+    for c in ("360_day", "365_day"):
+        n = sc.julian_day(F.col("y"), F.col("m"), F.col("d"), c)
+        rows = neg.select(n.alias("n"), sc.calendar_date(n, c).alias("c"), "y", "m", "d").collect()
+        assert rows[0].n == -rows[1].n and all((r.c.year, r.c.month, r.c.day) == (r.y, r.m, r.d) for r in rows)
+
+
+def test_kernels(spark):
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=120), 2)
+    y = np.sin(x) + rng.normal(size=120) * 0.1
+    rows = spark.createDataFrame(list(zip(x.tolist(), y.tolist())), "x double, y double")
+    got = [r.density for r in sequence.kernel_density(rows, "x", 0.3, [-1.0, 0.5], cumulative=True).collect()]
+    assert got == pytest.approx([np.mean([0.5 * math.erfc(-(p - v) / 0.3 / math.sqrt(2)) for v in x]) for p in (-1.0, 0.5)], abs=1e-6)
+
+    def density_cost(h):
+        d = x[:, None] - x
+        phi = lambda z, s: np.exp(-z * z / (2 * s * s)) / (s * math.sqrt(2 * math.pi))
+        off = phi(d, h)[~np.eye(len(x), dtype=bool)].sum()
+        return phi(d, h * math.sqrt(2)).sum() / len(x) ** 2 - 2 * off / (len(x) * (len(x) - 1))
+
+    def regression_cost(h):
+        k = np.exp(-(((x[:, None] - x) / h) ** 2) / 2)
+        np.fill_diagonal(k, 0)
+        return ((y - k @ y / k.sum(axis=1)) ** 2).mean()
+
+    base = (4 / 3) ** 0.2 * len(x) ** -0.2 * x.std(ddof=1)
+    for cost, args in ((density_cost, ("x",)), (regression_cost, ("x", "y"))):
+        places = np.linspace(0.2 * base, 5 * base, 400)
+        best = min(map(cost, places))
+        assert cost(sequence.cross_validated_bandwidth(rows, *args)) <= best + 1e-3 * abs(best) + 1e-9
+
+
+def test_order_statistics(spark):
+    rows = spark.createDataFrame([("a", 5.0, 1), ("a", 2.0, 2), ("a", 2.0, 3), ("a", None, 4), ("b", 1.0, 5)], "g string, x double, k int")
+    r = {x.g: x for x in sequence.nth_with_neighbours(rows, ["g"], "x", 2).collect()}
+    assert (r["a"].element, r["a"].previous, r["a"].next) == (2.0, 2.0, 5.0) and "b" not in r
+    assert {x.g: x.k for x in sequence.nth_index(rows, ["g"], "x", 2, "k").collect()} == {"a": 3}
+    assert {x.g: (x.k, x.value) for x in sequence.median_element(rows, ["g"], "x", "k").collect()} == {"a": (3, 2.0), "b": (5, 1.0)}
+
+
+def test_restarted_search(spark, tmp_path):
+    cost = lambda s: ((s - [1.0, 2.0]) ** 2).sum(axis=1)
+    state = str(tmp_path / "population")
+    first = calibrate.sce(cost, [-5, -5], [5, 5], loops=2, spark=spark, state=state)[1]
+    again = calibrate.sce(cost, [-5, -5], [5, 5], loops=30, spark=spark, state=state)[1]
+    assert again <= first and again < 1e-4 and spark.read.parquet(state).agg(F.min("loop"), F.max("loop")).first()[0] == 1
+    assert calibrate.mdds(cost, [0, 0], [-5, -5], [5, 5], 600)[1] < 1e-2
+    assert calibrate.nelder_mead_xy(lambda p, x, y: float(((p[0] * x - y) ** 2).sum()), np.array([1.0, 2.0]), np.array([3.0, 6.0]), [1.0])[0][0] == pytest.approx(3, abs=1e-3)
+    x = np.linspace(0, 1, 50)
+    chains = calibrate.mcmc_stddev(spark, lambda p: 2 * x + 1 + np.sin(40 * x) * 0.1 - p[0] * x - p[1], [0, 0], [-5, -5], [5, 5], chains=2, burn_in=1000, samples=1500)
+    assert chains.selectExpr("avg(parameters[0])").first()[0] == pytest.approx(2, abs=0.3)
+
+
+def test_pruned_reads(spark, tmp_path):
+    rows = spark.range(400).select(F.timestamp_seconds(F.lit(946684800) + F.col("id") * 86400).cast("timestamp_ntz").alias("ts"), (F.col("id") % 3).alias("point_id"), F.col("id").cast("double").alias("v"))
+    path = str(tmp_path / "d")
+    datasets.write(rows, path)
+    data = datasets.Dataset(spark, path)
+    one = data.read_chunk("2000-03-05 00:00:00", "2000-03-09 00:00:00")
+    assert [r.v for r in one.orderBy("ts").collect()] == [65.0, 66.0, 67.0, 68.0]
+    assert "PartitionFilters: [isnotnull(period" in one._jdf.queryExecution().toString() and len(one.inputFiles()) > 1
+    used = spark.read.parquet(f"{path}/values").where("period = date'2000-03-01'").select(F.input_file_name()).distinct().count()
+    assert one.select(F.input_file_name()).distinct().count() == used
+    assert data.time_index("2000-03-05 12:00:00") == 66 and data.read_chunk_by_ids(66, 2).count() == 2 and data.read_chunk_by_ids(900, 2).count() == 0
+
+
+def test_netcdf_refuses(spark, tmp_path):
+    bad = tmp_path / "x.nc"
+    bad.write_bytes(b"\x89HDF")
+    with pytest.raises(ValueError):
+        netcdf.read_header(str(bad))
+    with pytest.raises(ValueError):
+        netcdf.uniform_axis(np.array([1.0, 2.0, 4.0]))
+    cells = spark.createDataFrame([(1, 1, 2.0), (2, 2, 4.0)], "i int, j int, value double")
+    spec = grid.GridSpec(2, 2, 3.0, 4.0, 0.5, spherical=True, top_down=True)
+    path = str(tmp_path / "g.nc")
+    netcdf.grid_to_netcdf(cells, spec, path)
+    rows, back = netcdf.grid_from_netcdf(spark, path, "value")
+    assert back == spec and sorted(map(tuple, rows.collect())) == [(1, 1, 2.0), (2, 2, 4.0)]
+    head = netcdf.read_header(path)
+    assert netcdf.is_longitude(head.variables["x"]) and netcdf.is_latitude(head.variables["y"])
+    with pytest.raises(ValueError):
+        netcdf.read_slab(path, head, "value", [0, 0], [3, 1])
+
+
+def test_time_units(spark):
+    assert [timeaxis.units_for(s, t) for s, t in (("hourly", "end"), ("daily", "end"), ("monthly", "start"), ("hourly", "centre"), ("6", "end"), ("48", "end"))] == ["hours", "days", "days", "minutes", "hours", "days"]
+    rows = spark.createDataFrame([(10,), (20,), (40,)], "v long")
+    bounds = lambda s: [(r.lower, r.upper) for r in timeaxis.infer_bounds(rows, [], "v", s).orderBy("v").collect()]
+    assert bounds("end") == [(0, 10), (10, 20), (20, 40)] and bounds("start") == [(10, 20), (20, 40), (40, 50)] and bounds("centre") == [(5, 15), (15, 25), (35, 45)]
 
 
 def test_eckhardt_fit_all_low_days(spark):
