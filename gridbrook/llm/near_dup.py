@@ -69,7 +69,7 @@ class _Hashes(dict):
     """Word -> 64-bit hash; bounded."""
 
     def __missing__(self, word):
-        if len(self) > 400_000:
+        if len(self) > 50_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value

@@ -1,33 +1,21 @@
-"""What the operators of this subpackage share: tables in the cluster's shared folder and components."""
+"""What the operators of this subpackage share: tables in the cluster's shared folder and rows sent to Python in bounded batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from gridbrook.operators.graph import components  # noqa: F401  (used by the operators here)
+from gridbrook.operators.tables import drop, new_path  # noqa: F401
 
 
 #: Shuffle files of a query are deleted when it ends.
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir; in local mode, where unset, a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    found = tempfile.mkdtemp(prefix="gridbrook-")
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 #: Bloom filters (1 MB each, whatever the input) of a join's small side leave out most rows of its large side before those are shuffled.
 BLOOM = {
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
@@ -40,10 +28,26 @@ BATCH_BYTES = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 def in_batches(df: DataFrame, run, schema) -> DataFrame:
-    """``df.mapInArrow`` with batches of bounded size.  A plan reads the bound when it runs, so it is set on the session."""
+    """``df.mapInArrow`` with batches of bounded size; a worker gives back what a task leaves free.
+
+    A plan reads the bound when it runs, so it is set on the session.
+    """
     for k, v in BATCH_BYTES.items():
         df.sparkSession.conf.set(k, v)
-    return df.mapInArrow(run, schema)
+
+    def bounded(batches):
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(bounded, schema)
+
+
+def give_back() -> None:
+    """Return freed memory to the system, which allocators keep otherwise: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
 
 
 @contextmanager
@@ -62,7 +66,7 @@ def settings(spark: SparkSession, conf: dict[str, str]):
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and reread it: cuts lineage, and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     with settings(spark, BLOOM | {CLEAN: "true"}):  # the table stands for what was shuffled for it
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -70,76 +74,6 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def drop(*frames: DataFrame | None) -> None:
-    """Delete tables that ``save`` wrote and no later plan reads."""
-    for df in frames:
-        path = getattr(df, "_saved_at", None)
-        if path:
-            spark = df.sparkSession
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-#: Edges that one task joins in memory (32 MB of ids); more go through distributed rounds with equal results.
-TASK_EDGES = 2_000_000
-
-
-def _joined(batches):
-    """Union-find over the batches' edges (x, y)."""
-    root: dict[int, int] = {}
-
-    def find(x):
-        while (up := root.setdefault(x, x)) != x:
-            root[x] = x = root[up]
-        return x
-
-    for batch in batches:
-        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            x, y = find(x), find(y)
-            root[max(x, y)] = min(x, y)
-    nodes = list(root)
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["node", "component"])
-
-
-def components(edges: DataFrame, max_rounds: int = 60, task_edges: int = TASK_EDGES) -> DataFrame:
-    """(node, component) of every node of the undirected ``edges`` (a, b), component its smallest reachable node.
-
-    Up to ``task_edges`` edges, one executor joins them.  Beyond, alternating large-star and small-star steps: O(log^2 n) rounds, each a few shuffles of the edges.
-    Hubs are pre-aggregated by the map side of ``min`` and split by the skew join of the adaptive planner.
-    Loops and nulls are ignored; no edges give no rows; raises if ``max_rounds`` do not suffice.
-    """
-    spark = edges.sparkSession
-    now = save(
-        edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct(),
-        "edges",
-    )
-    digest = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("x", "y"))).first())
-    seen = digest(now)
-    if seen[0] <= task_edges:
-        out = save(in_batches(now.coalesce(1), _joined, "node long, component long"), "components")
-        drop(now)
-        return out
-    for _ in range(max_rounds if seen[0] else 0):
-        both = now.union(now.select("y", "x"))
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.join(least, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
-        root = large.groupBy("x").agg(F.min("y").alias("m"))
-        small = large.join(root, "x").where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y")).union(root).distinct()
-        after = save(small, "edges")
-        was, seen = seen, digest(after)
-        drop(now)
-        now = after
-        if was == seen:
-            break
-    else:
-        if seen[0]:
-            raise RuntimeError(f"components have not settled in {max_rounds} rounds")
-    roots = now.select(F.col("y").alias("node"), F.col("y").alias("component")).distinct()
-    out = now.select(F.col("x").alias("node"), F.col("y").alias("component")).union(roots)
-    out._saved_at = now._saved_at
-    return out
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or with underscores before it so that it clashes with no column of ``df``."""
     taken = {c.lower() for c in df.columns}
