@@ -36,7 +36,7 @@ OUT = "doc_id long, n_tokens long, token_ids array<int>, ids_sha256 string, deco
 class Automaton:
     """Transitions of the merge automaton of ``file``; base symbols are tokens without a merge."""
 
-    def __init__(self, file: TokenizerFile, table_size: int = 400_000):
+    def __init__(self, file: TokenizerFile, table_size: int = 300_000):
         n = max(file.vocab.values()) + 1
         self.born, self.left, self.right = [-1] * n, [-1] * n, [-1] * n
         self.removed: dict[int, int] = {}
@@ -127,7 +127,7 @@ class Codec:
     def __init__(self, path: str):
         self.file = load(path)
         self.automaton = Automaton(self.file)
-        self.words = Table(200_000, lambda w: np.array(self.automaton.encode(self.file.symbols(w)), "<u4").tobytes())
+        self.words = Table(150_000, lambda w: np.array(self.automaton.encode(self.file.symbols(w)), "<u4").tobytes())
         self.labels = self.automaton.labels + [""] * (max([-1, *self.file.special.values()]) + 1 - self.automaton.n)
         for text, i in self.file.special.items():
             self.labels[i] = text
