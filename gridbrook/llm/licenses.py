@@ -155,12 +155,15 @@ def scan(docs: DataFrame, path, templates: list[tuple[str, str]] | None = None,
     files = found.where("file and path is not null").select(F.expr(up).alias("above"), "licence", "score").groupBy("above").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("a"))
     plain = own.select("doc_id", "path")
     named = found.select("doc_id", F.col("path").alias("p"), "licence", "score", "file").groupBy("doc_id", "p").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence", "file")).alias("b"))
-    marked = plain.join(named, plain["doc_id"].eqNullSafe(named["doc_id"]) & plain["path"].eqNullSafe(named["p"]), "left").select(plain["doc_id"], plain["path"], "b")
+    marked = save(plain.join(named, plain["doc_id"].eqNullSafe(named["doc_id"]) & plain["path"].eqNullSafe(named["p"]), "left").select(plain["doc_id"], plain["path"], "b"), "marked")
     # directories, not rows, look for their nearest ancestor
     dirs = marked.where("b is null and path is not null").select(F.expr(up).alias("dir")).distinct()
     levels = F.transform(F.sequence(F.lit(0), F.size(F.split("dir", "/"))), lambda k: F.array_join(F.slice(F.split("dir", "/"), 1, k), "/"))
     reached = dirs.select("dir", F.explode(F.array_distinct(levels)).alias("above")).join(files, "above")
     given = reached.groupBy("dir").agg(F.max_by("a", F.length("above")).alias("a"))
-    out = marked.withColumn("dir", F.when(F.col("b").isNull(), F.expr(up))).join(given, "dir", "left")
+    # only rows that may inherit are joined, so that those with a licence or without a path don't meet in one task
+    heirs = marked.where("b is null and path is not null").withColumn("dir", F.expr(up)).join(given, "dir", "left").drop("dir")
+    rest = marked.where("b is not null or path is null")
+    out = heirs.unionByName(rest.withColumn("a", F.lit(None).cast(heirs.schema["a"].dataType)))
     kind = F.when(F.col("b.file"), "file").when(F.col("b").isNotNull(), "header").when(F.col("a").isNotNull(), "directory")
     return out.select("doc_id", "path", F.coalesce("b.licence", "a.licence").alias("licence"), (-F.coalesce("b.s", "a.s")).alias("score"), kind.alias("found_in"))
