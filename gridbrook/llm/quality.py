@@ -3,8 +3,9 @@
 The content view has the shape of the whole text, the metadata view its language, source and length.  Both are
 naive Bayes over binned features, so a model is a table of counts of bounded size and a round is one pass over
 all documents: labelled rows give counts for both views; of the others, those that one view is sure of give
-counts to the other view.  After the rounds each view is calibrated on all labelled rows and the calibrated
-log-odds are added.
+counts to the other view.  What a view is sure of, and its calibration after the rounds, are read off the labelled
+rows' scores; each of those is scored by a view that was fitted without the row's fold.  The calibrated log-odds are
+added.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from gridbrook.llm.shared import drop, free_name, in_batches, save
 
-BINS, ROUNDS, SURE, KEEP_FROM, PSEUDO_WEIGHT = 16, 3, 0.95, 0.5, 0.25
+BINS, ROUNDS, SURE, KEEP_FROM, PSEUDO_WEIGHT, FOLDS = 16, 3, 0.95, 0.5, 0.25, 5
 #: Numbers of bins of the metadata features: language, source, length.
 META = (64, 256, 32)
 GRID = np.linspace(-20, 20, 81)
@@ -119,36 +120,43 @@ def _arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
     return out
 
 
-def _counted(rows: DataFrame, views: list[View] | None) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """One pass: counts of labelled rows' features, histograms of their scores, and features of other rows by giver's score cell."""
+def _fold(ids: pa.Array) -> np.ndarray:
+    """Fold of each row by a hash of its id; rows without an id have no label and so no use for theirs."""
+    known = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.uint64)
+    return ((known * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % FOLDS
+
+
+def _counted(rows: DataFrame, views: list[View] | None, apart: list[list[View]] | None = None) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """One pass: counts of labelled rows' features by fold, histograms of their scores by the views ``apart`` fitted without their fold, and features of other rows by giver's score cell."""
     sizes = (SHAPES * BINS, sum(META))
+    empty = lambda: ([np.zeros((FOLDS * s, 2)) for s in sizes], [np.zeros((len(GRID) - 1, 2)) for _ in sizes], [np.zeros((s, len(GRID) - 1)) for s in sizes])
 
     def run(batches):
-        own = [np.zeros((s, 2)) for s in sizes]
-        hist = [np.zeros((len(GRID) - 1, 2)) for _ in sizes]
-        lent = [np.zeros((s, len(GRID) - 1)) for s in sizes]
+        own, hist, lent = empty()
         for batch in batches:
             bins = _arrays(batch)
             label = batch.column(batch.schema.get_field_index("y")).fill_null(-1).to_numpy(zero_copy_only=False)
+            fold = _fold(batch.column(batch.schema.get_field_index("doc_id")))
             for v, b in enumerate(bins):
                 for y in (0, 1):
-                    np.add.at(own[v][:, y], b[label == y].ravel(), 1)
+                    np.add.at(own[v][:, y], (b + (fold * sizes[v])[:, None])[label == y].ravel(), 1)
                 if views:
-                    cell = _cell(views[v].score(b))
-                    for y in (0, 1):
-                        np.add.at(hist[v][:, y], cell[label == y], 1)
-                    free = bins[1 - v][label < 0]
-                    np.add.at(lent[1 - v], (free.ravel(), np.repeat(cell[label < 0], free.shape[1])), 1)
+                    for f in range(FOLDS):
+                        mine = (fold == f) & (label >= 0)
+                        if mine.any():
+                            np.add.at(hist[v], (_cell(apart[f][v].score(b[mine])), label[mine]), 1)
+                    free = label < 0
+                    cell = _cell(views[v].score(b[free]))
+                    given = bins[1 - v][free]
+                    np.add.at(lent[1 - v], (given.ravel(), np.repeat(cell, given.shape[1])), 1)
         cells = [(kind, v, int(i), int(j), float(a[i, j])) for kind, arrays in enumerate((own, hist, lent)) for v, a in enumerate(arrays) for i, j in zip(*np.nonzero(a))]
         yield pa.RecordBatch.from_pydict({k: pa.array([c[n] for c in cells], t) for n, (k, t) in enumerate([("kind", pa.int32()), ("v", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("n", pa.float64())])})
 
-    own = [np.zeros((s, 2)) for s in sizes]
-    hist = [np.zeros((len(GRID) - 1, 2)) for _ in sizes]
-    lent = [np.zeros((s, len(GRID) - 1)) for s in sizes]
+    out = empty()
     cells = in_batches(rows, run, "kind int, v int, i int, j int, n double").groupBy("kind", "v", "i", "j").agg(F.sum("n"))
-    for kind, v, i, j, n in cells.collect():  # at most (sizes) * 80 * 3 cells, whatever the input
-        (own, hist, lent)[kind][v][i, j] = n
-    return own, hist, lent
+    for kind, v, i, j, n in cells.collect():  # at most FOLDS * sizes * 2 + sizes * 80 cells, whatever the input
+        out[kind][v][i, j] = n
+    return out
 
 
 def _sure(hist: np.ndarray, up: bool) -> np.ndarray:
@@ -165,26 +173,26 @@ def _sure(hist: np.ndarray, up: bool) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model | None, DataFrame]:
     """The co-trained model and the table of features.  A document with several labels has the least of them."""
     known = labels.selectExpr("cast(doc_id as long) doc_id", "cast(quality as int) quality").where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("y"))
-    rows = save(_features(docs).join(known, "doc_id", "left"), "features")
-    own, _, _ = _counted(rows, None)
+    # rows without an id are dealt out by their features instead of meeting in one task
+    told = _features(docs).withColumn("deal", F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("t"), F.lit(1024))).otherwise(F.lit(0)))
+    rows = save(told.join(known.withColumn("deal", F.lit(0).cast("long")), ["doc_id", "deal"], "left").drop("deal"), "features")
+    folds = [x.reshape(FOLDS, -1, 2) for x in _counted(rows, None)[0]]
+    own = [x.sum(axis=0) for x in folds]
     if own[0].sum(axis=0).min() == 0:
         return None, rows
-    counts = own
+    lent_to = [np.zeros_like(x) for x in own]
     for r in range(ROUNDS + 1):
-        views = [View(c, k) for c, k in zip(counts, (SHAPES, len(META)))]
-        _, hist, lent = _counted(rows, views)
+        fitted = lambda held: [View(c + e - (0 if held is None else f[held]), k) for c, e, f, k in zip(own, lent_to, folds, (SHAPES, len(META)))]  # noqa: B023, E731
+        views, apart = fitted(None), [fitted(f) for f in range(FOLDS)]
+        _, hist, lent = _counted(rows, views, apart)
         if r < ROUNDS:
-            counts = []
-            for v in (0, 1):
-                giver = hist[1 - v]
-                add = np.column_stack([lent[v][:, _sure(giver, False)].sum(axis=1), lent[v][:, _sure(giver, True)].sum(axis=1)])
-                counts.append(own[v] + PSEUDO_WEIGHT * add)
+            lent_to = [PSEUDO_WEIGHT * np.column_stack([lent[v][:, _sure(hist[1 - v], False)].sum(axis=1), lent[v][:, _sure(hist[1 - v], True)].sum(axis=1)]) for v in (0, 1)]
     total = hist[0].sum(axis=0)
     return Model(views, [_calibrated(h) for h in hist], float(np.log(total[1] / total[0]))), rows
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, content_logit, metadata_logit, score, keep of every document.
+    """doc_id, content_logit, metadata_logit, score, keep of every document; a document with several labels has the least of them.
 
     score is the calibrated probability of good quality, keep is score >= 0.5.  Null and empty texts and null
     metadata are features like others; rows without an id have no label; repeated rows are repeated.  Without
