@@ -23,6 +23,8 @@ STRETCH, PERCENT, SHORTEST = 13, 80, 5
 BLOCK_WORDS = 2_000_000
 #: Words of documents that are hashed at once.
 AT_ONCE = 65536
+#: Hits that are held at once before they are made distinct.
+HITS = 1_000_000
 _C = np.random.default_rng(7).integers(1, 2**63, STRETCH, dtype=np.uint64) | np.uint64(1)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 FOUND = "doc_id long, item_id long, matched long, aligned long, doc_start long"
@@ -100,11 +102,14 @@ class Index:
                 at = np.flatnonzero(bits[own >> shift])
                 a = np.searchsorted(seeds, own[at])
                 times = np.searchsorted(seeds, own[at], "right") - a
-                if times.any():
-                    x = np.repeat(a - np.cumsum(times) + times, times) + np.arange(times.sum())
-                    at = np.repeat(at, times)
-                    doc = np.searchsorted(starts, at, "right") - 1
-                    lines.append(np.column_stack([doc, which[x], at - starts[doc] - where[x]]))
+                hit = np.flatnonzero(times)
+                # a seed that recurs in text and benchmark gives a hit for each pair of its places: so many are taken at once
+                for some in np.split(hit, np.flatnonzero(np.diff(np.cumsum(times[hit]) // HITS)) + 1) if len(hit) else ():
+                    t = times[some]
+                    x = np.repeat(a[some] - np.cumsum(t) + t, t) + np.arange(t.sum())
+                    place = np.repeat(at[some], t)
+                    doc = np.searchsorted(starts, place, "right") - 1
+                    lines.append(np.unique(np.column_stack([doc, which[x], place - starts[doc] - where[x]]), axis=0))
         best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
         # stretches that reach into the next document give lines too; words are compared within one document only
         for j, k, d in (np.unique(np.concatenate(lines), axis=0) if lines else np.empty((0, 3), int)).tolist():
