@@ -92,6 +92,37 @@ def test_near_duplicates_odd_rows(spark, odd):
     assert near_dup.near_duplicates(odd.limit(0), 2).count() == 0
 
 
+def test_near_duplicates_of_shared_ids(spark):
+    """Rows that share an id are judged by their own texts; no text is lost and no copy stays."""
+    texts = ["a b c d e f g h i j k l", "x y z u v w", "a b c d e f g h i j k m", "q r s t", "", None, "x y z u v w"]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[2]), (2, texts[3]), (3, texts[4]), (3, texts[5]), (4, texts[6]), (4, texts[6]), (2, texts[3])]
+    df = spark.createDataFrame([(*r, k, "c") for k, r in enumerate(rows)], "doc_id long, text string, count long, place string").withColumn("node", F.lit(0)).withColumn("kept_id", F.lit("k"))
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(df, 2, 60).collect())
+    assert got == sorted([(1, 11, 1, True), (1, 5, 1, True), (2, 11, 1, False), (2, 3, 2, True), (2, 3, 2, True), (3, 0, 3, True), (3, 0, 3, True), (4, 5, 1, False), (4, 5, 1, False)])
+    kept = near_dup.keep_one(df, 2, 60)
+    assert kept.columns == df.columns and sorted((r.doc_id, r.text or "") for r in kept.collect()) == sorted([(1, texts[0]), (1, texts[1]), (2, texts[3]), (3, ""), (3, "")])
+    once = df.where("count in (0, 2, 4, 5) or count = 3").dropDuplicates(["doc_id"])
+    assert near_dup.keep_one(once, 2, 60).columns == df.columns
+
+
+@pytest.mark.parametrize("part, tile", [(2, 3)])
+def test_near_duplicates_dealt_out(spark, part, tile, monkeypatch):
+    """Leaders' pairs and crowded keys are cut into small parts with equal results."""
+    monkeypatch.setattr("gridbrook.llm.near_dup.PART", part)
+    monkeypatch.setattr("gridbrook.llm.near_dup.TILE", tile)
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(500)}" for _ in range(120)]
+    rows = []
+    for k in range(50):
+        copy = list(base)
+        for _ in range(rng.randrange(9)):
+            copy[rng.randrange(120)] = f"v{rng.randrange(10**6)}"
+        rows.append((k, " ".join(copy)))
+    for rounds in (2, 0):
+        monkeypatch.setattr("gridbrook.llm.near_dup.ROUNDS", rounds)
+        assert near(spark.createDataFrame(rows, "doc_id long, text string"), 2) == brute_components(rows, 2)
+
+
 def test_components_agree(spark):
     rng = random.Random(2)
     edges = spark.createDataFrame([(rng.randrange(90), rng.randrange(90)) for _ in range(60)], "a long, b long")
@@ -191,6 +222,63 @@ def test_urls(spark):
     assert url_filter.url_verdicts(df.limit(0)).count() == 0
 
 
+def test_urls_resolved(spark):
+    """Against the standard library's resolution."""
+    import html
+    from urllib.parse import urldefrag, urljoin
+
+    bases = ["http://a.org", "http://a.org/", "http://a.org/b/c/d;p?q", "https://x.y/z", "http://a.org/b/?k=/u/v"]
+    refs = ["g", "./g", "g/", "/g", "//h/i", "?y", "g?y", "#s", "g#s", "", ".", "./", "..", "../", "../g", "../..", "../../g", "../../../g", "/./g", "/../g", "g.", "..g", "./../g", "g/./h", "g/../h", "http://o.net/p", "/login?next=http://c.net/es/", "a&amp;b=1", "&lt;x&gt;"]
+    rows = [(k, b, r) for k, (b, r) in enumerate(itertools.product(bases, refs))]
+    got = {r.k: r.u for r in spark.createDataFrame(rows, "k int, b string, r string").select("k", url_filter.resolved(F.col("b"), url_filter.decoded(F.col("r"))).alias("u")).collect()}
+    for k, b, r in rows:
+        want = urldefrag(urljoin(b, html.unescape(r)))[0]
+        assert got[k] == want or got[k].replace("a.org/", "a.org") == want.replace("a.org/", "a.org"), (b, r, got[k], want)
+
+
+def test_url_components(spark):
+    """Pages linked at random, by relative, absolute, canonical and refresh targets, against a union-find."""
+    rng = random.Random(7)
+    hosts = ["a.org", "b.net", "c.example.com", "www.example.com"]
+    urls = [f"http://{rng.choice(hosts)}/{rng.choice(['en', 'es', 'x'])}/{k}.html" for k in range(80)]
+    rows, links = [], []
+    for k, u in enumerate(urls):
+        body = ""
+        if rng.random() < 0.5:
+            to = rng.choice(urls)
+            same = to.split("/")[:4] == u.split("/")[:4]
+            told = to.split("/")[-1] if same else to
+            body = f'<link rel="alternate canonical" href="{told}">' if rng.random() < 0.5 else f"<META HTTP-EQUIV=Refresh content='0;URL={told}'>"
+            links.append((u, to))
+        rows.append((k, u, body))
+    rows += [(900, None, "<link rel=canonical href=http://b.net/es/1>"), (901, None, None), (902, "", "")] + [(k, None, "") for k in range(1000, 1050)]
+    root = {u: u for u in urls}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[find(a)] = find(b)
+
+    def rule(u):
+        host, path = u.split("/", 3)[2], "/" + u.split("/", 3)[3]
+        fit = [(len(h + p), v) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fit)[1] if fit else None
+
+    own = {u: rule(u) for u in urls}
+    spread = {}
+    for u in urls:
+        spread.setdefault(find(u), set()).add(own[u])
+    want = {k: own[u] or ("allow" if "allow" in spread[find(u)] else "block" if "block" in spread[find(u)] else "allow") for k, u in enumerate(urls)}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filter.url_verdicts(df).collect()}
+    assert {k: got[k] for k in want} == want and len(got) == len(rows) and got[900] == "allow"
+    many = [("allow", f"h{k}.test", "/") for k in range(1200)] + url_filter.RULES
+    assert {r.page_id: r.verdict for r in url_filter.url_verdicts(df, many).collect()} == got  # joined instead of put into the plan
+
+
 def test_licenses(spark, odd):
     rows = [(1, "Released under the MIT License.", "a/LICENSE"), (2, "plain text", "a/b/x"), (3, "code\nLicensed under the Apache License, Version 2.0.\nmore words that are no licence at all and so on", "a/b/y"), (4, "text", "c/z"), (5, None, "a/q"), (6, "", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, p string")
@@ -217,6 +305,51 @@ def test_licence_texts(spark):
     assert got == {i: (k, f) for i, (_, _, k, f) in enumerate(cases)}
 
 
+def test_licences_equal_brute_force(spark):
+    """Scores of single statements against a plain computation over the same documents."""
+    from collections import Counter
+
+    templates = [("A", "use it freely under licence alpha"), ("B", "all rights reserved by beta and gamma"), ("B", "beta gamma rights")]
+    rng = random.Random(11)
+    words = sorted({w for _, t in templates for w in t.split()} | {"code", "plain", "text"})
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 7))) for _ in range(120)] + [t for _, t in templates] + ["", None]
+    rows = [(k, t, f"d{k % 7}/f{k}") for k, t in enumerate(texts)]
+    rows += rows[:3] + [(None, "use it freely under licence alpha", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, p string").withColumn("licence", F.lit("x")).withColumn("b", F.lit(1)).withColumn("dir", F.lit("y"))
+    got = licenses.scan(df, F.col("p"), templates).collect()
+    assert len(got) == len(rows)
+    every = [t for _, t, _ in rows]
+    vocab = {w for _, t in templates for w in t.split()}
+    df_ = {w: sum(w in (t or "").split() for t in every) for w in vocab}
+    n = len(every)
+    idf = lambda w: math.log((1 + n) / (1 + df_[w])) + 1 if w in vocab else math.log(1 + n) + 1
+
+    def cosine(a, b):
+        x, y = ({w: (1 + math.log(f)) * idf(w) for w, f in Counter(t.split()).items()} for t in (a, b))
+        return sum(x[w] * y.get(w, 0) for w in x) / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+
+    best = {}
+    for k, t, _ in rows:
+        if t:
+            scored = [(-round(cosine(t, s), 6), name) for name, s in templates]
+            fit = [x for x in scored if -x[0] >= 0.8]
+            best[k] = min(fit) if fit else None
+    files_of = {}
+    for k, t, p in rows:
+        if p and best.get(k):
+            files_of.setdefault(p.split("/")[0], []).append(best[k])
+    seen = 0
+    for r in got:
+        want = best.get(r.doc_id)
+        if want:
+            assert (r.licence, r.score) == (want[1], pytest.approx(-want[0], abs=2e-6)) and r.found_in == "file"
+            seen += 1
+        else:
+            above = min(files_of.get((r.path or "").split("/")[0], []), default=None)
+            assert (r.licence, r.found_in) == ((above[1], "directory") if above else (None, None))
+    assert seen > 3
+
+
 def test_quality(spark, docs, odd):
     big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -226,6 +359,51 @@ def test_quality(spark, docs, odd):
     assert quality.keep_good(big, train).columns == big.columns
     assert quality.quality_scores(odd, labels.limit(0)).where("keep").count() == len(ODD)
     assert quality.quality_scores(odd, train).count() == len(ODD) and quality.keep_good(odd.limit(0), train).count() == 0
+    clash = big.withColumn("t", F.lit(1)).withColumn("m", F.lit("x")).withColumn("deal", F.lit(2)).withColumn("y", F.lit(0))
+    both = quality.keep_good(clash.union(clash), train)
+    assert both.columns == clash.columns and both.count() == 2 * quality.keep_good(big, train).count()
+
+
+def test_quality_equals_brute_force(spark):
+    """The co-trained model against the same steps over plain arrays in one process."""
+    big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model, rows = quality.fit(big, labels)
+    data = rows.toPandas()
+    bins = [np.array(data[c].tolist()) for c in ("t", "m")]
+    y = data.y.fillna(-1).astype(int).to_numpy()
+    import pyarrow as pa
+
+    fold = quality._fold(pa.array(data.doc_id, pa.int64()))
+    groups, sizes = (quality.SHAPES, len(quality.META)), (quality.SHAPES * quality.BINS, sum(quality.META))
+
+    def counts(v, mask, weight=1.0):
+        out = np.zeros((sizes[v], 2))
+        for k in np.flatnonzero(mask):
+            out[bins[v][k], y[k]] += weight
+        return out
+
+    lent = [np.zeros((s, 2)) for s in sizes]
+    for r in range(quality.ROUNDS + 1):
+        views = [quality.View(counts(v, y >= 0) + lent[v], groups[v]) for v in (0, 1)]
+        apart = [[quality.View(counts(v, (y >= 0) & (fold != f)) + lent[v], groups[v]) for v in (0, 1)] for f in range(quality.FOLDS)]
+        hist = [np.zeros((len(quality.GRID) - 1, 2)) for _ in sizes]
+        for v in (0, 1):
+            for k in np.flatnonzero(y >= 0):
+                hist[v][quality._cell(apart[fold[k]][v].score(bins[v][k : k + 1]))[0], y[k]] += 1
+        if r < quality.ROUNDS:
+            new = []
+            for v in (0, 1):
+                sure = [quality._sure(hist[1 - v], up) for up in (False, True)]
+                add = np.zeros((sizes[v], 2))
+                for k in np.flatnonzero(y < 0):
+                    cell = quality._cell(views[1 - v].score(bins[1 - v][k : k + 1]))[0]
+                    for c in (0, 1):
+                        add[bins[v][k], c] += sure[c][cell]
+                new.append(quality.PSEUDO_WEIGHT * add)
+            lent = new
+    for v in (0, 1):
+        assert np.allclose(model.views[v].table, views[v].table) and np.allclose(model.lines[v], quality._calibrated(hist[v]))
 
 
 def test_decontamination(spark, docs, odd):
@@ -246,6 +424,18 @@ def test_decontamination(spark, docs, odd):
     assert want <= {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, spark.read.parquet(f"{DATA}/benchmark.parquet")).collect()}
 
 
+def test_decontamination_odd_rows(spark, odd):
+    """Repeated rows give repeated results, rows without an id none, clashing columns stay, and texts of one word over and over are whole."""
+    bench = spark.createDataFrame([(1, "again " * 20), (2, "one two three four five six"), (None, "one two three four five six"), (3, "")], "item_id long, text string")
+    long = "again " * 20000
+    df = spark.createDataFrame([(1, long, "a"), (2, "x " * 500 + "one two three four five SIX", "b"), (2, "x " * 500 + "one two three four five SIX", "b"), (None, long, "c"), (4, None, "d"), (5, "one two", "e")], "doc_id long, text string, item_id string")
+    got = sorted((r.doc_id, r.item_id, r.matched, r.aligned, r.doc_start) for r in decontam.contaminated(df, bench).collect())
+    assert got == [(1, 1, 20, 20, 0), (2, 2, 6, 6, 500), (2, 2, 6, 6, 500)]
+    kept = decontam.decontaminate(df, bench)
+    assert kept.columns == df.columns and sorted(r.item_id for r in kept.collect()) == ["d", "e"]
+    assert decontam.decontaminate(odd, bench).count() == len(ODD)
+
+
 @pytest.mark.parametrize("n", range(5, 14))
 def test_decontamination_masks(n):
     blocks, changes = decontam.blocks_of(n), n - -(-80 * n // 100)
@@ -287,18 +477,52 @@ def test_decontamination_equals_brute_force(monkeypatch):
 
 
 def test_shards(spark, docs, odd):
-    out, stored = sharding.shard_documents(docs)
+    out, folder = sharding.shard_documents(docs)
+    stored = sharding.read_map(spark, folder)
     rows = out.toPandas()
     texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
     assert all(s == len(texts[i]) + 1 and c == zlib.crc32(texts[i]) for i, s, c in zip(rows.doc_id, rows["size"], rows.text_crc32))
     assert all(sorted(g.slot) == list(range(len(g))) for _, g in rows.groupby("shard"))
     total = rows.groupby("shard")["size"].sum()
     assert len(total) == 16 and total.max() - total.min() <= rows["size"].max()
-    loads = [(r.virtual_slot, r.bytes, r.rows) for r in stored.collect()]
     old = {r.virtual_slot: r.shard for r in stored.collect()}
-    new = sharding.rebalance(loads, old, 17)
-    assert all(new[s] == old[s] or new[s] == 16 for s in old) and 16 in new.values()
-    assert sharding.shard_documents(odd)[0].count() == len(ODD) and sharding.shard_documents(odd.limit(0))[0].count() == 0
+    # the stored map is read, edited for one more shard and written as the next version, which places the rows
+    after = sharding.reshard_documents(docs, folder, 17).toPandas()
+    new = {r.virtual_slot: r.shard for r in sharding.read_map(spark, folder).collect()}
+    assert sharding.read_map(spark, folder).first().version == 2 and {r.virtual_slot: r.shard for r in sharding.read_map(spark, folder, 1).collect()} == old
+    assert all(new[s] == old[s] or new[s] == 16 for s in old) and 16 in new.values() and set(after.version) == {2}
+    assert all(new[s] == k for s, k in zip(after.virtual_slot, after["shard"])) and all(sorted(g.slot) == list(range(len(g))) for _, g in after.groupby("shard"))
+    fewer = sharding.reshard_documents(docs, folder, 12).toPandas()
+    assert set(fewer["shard"]) <= set(range(12)) and set(fewer.version) == {3} and all(sorted(g.slot) == list(range(len(g))) for _, g in fewer.groupby("shard"))
+    clash = odd.withColumn("shard", F.lit(1)).withColumn("slot", F.lit("x")).withColumn("virtual_slot", F.lit(2))
+    got, where = sharding.shard_documents(clash)
+    assert sorted((r.doc_id or 0, r["size"]) for r in got.collect()) == sorted((r[0] or 0, len((r[1] or "").encode()) + 1) for r in ODD)
+    grown = sharding.reshard_documents(docs.select("doc_id", "text").union(odd.select("doc_id", "text")), where, 16)  # slots that the old map lacks
+    assert grown.count() == docs.count() + len(ODD)
+    assert sharding.shard_documents(odd.limit(0))[0].count() == 0
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Stages against brute force on a small input with odd rows, repeated ids and clashing columns; an empty input gives no rows."""
+    import corpus_pipeline
+
+    noise = lambda k, n: " ".join(f"t{k}x{i}" for i in range(n))
+    item = " ".join(f"bench{i}" for i in range(30))
+    rows = [(1, noise(1, 40)), (2, noise(1, 40)), (3, noise(3, 40) + " " + item), (4, None), (5, ""), (None, noise(6, 20)), (7, noise(7, 3)), (7, noise(8, 3)), (9, noise(9, 30000))]
+    docs = spark.createDataFrame([(i, t, None, None, None, 5, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, count long, group string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    tok = library("word_bpe_49k.json")
+    left = [(i, t) for i, t in rows if i not in (2, 3)]  # no labels of both classes: quality keeps all
+    want = sorted((i or 0, len(tok.encode(t or "", add_special_tokens=False).ids)) for i, t in left)
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in out) == want
+    empty = str(tmp_path / "none")
+    docs.limit(0).write.parquet(f"{empty}/documents.parquet")
+    for t in ("benchmark", "labels"):
+        spark.read.parquet(str(tmp_path / f"{t}.parquet")).write.parquet(f"{empty}/{t}.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0
 
 
 def test_pipeline(spark):
