@@ -100,12 +100,6 @@ def _(spark, d):
     return grid.crop_points(_points(spark, d), 8, 15, 42, 48).select("id")
 
 
-@_add("points_in_polygon", f"""WITH {POINTS} SELECT id FROM p WHERE (18 - 6) * (y - 41) - (43 - 41) * (x - 6) >= 0 AND (20 - 18) * (y - 43) - (50 - 43) * (x - 18) >= 0
-  AND (9 - 20) * (y - 50) - (51 - 50) * (x - 20) >= 0 AND (6 - 9) * (y - 51) - (41 - 51) * (x - 9) >= 0""")
-def _(spark, d):
-    return grid.points_in_polygon(_points(spark, d), POLYGON).select("id")
-
-
 AREA = "6371228.0 * 6371228.0 * radians(0.25) * 2 * sin(radians(0.25) / 2) * cos(radians(40 + j * 0.25 - 0.125))"
 
 
@@ -196,6 +190,12 @@ def _odd_points(spark, d):
     return _t(spark, d, "customer").select(c.alias("point_id"), (5 + c * 37 % 1601 / 100.03).alias("x"), (40 + c * 53 % 1201 / 100.07).alias("y"), F.col("c_acctbal").alias("value"))
 
 
+@_add("points_in_polygon", f"""WITH {ODD_POINTS} SELECT id FROM p WHERE (18 - 6) * (y - 41) - (43 - 41) * (x - 6) >= 0 AND (20 - 18) * (y - 43) - (50 - 43) * (x - 18) >= 0
+  AND (9 - 20) * (y - 50) - (51 - 50) * (x - 20) >= 0 AND (6 - 9) * (y - 51) - (41 - 51) * (x - 9) >= 0""")
+def _(spark, d):
+    return grid.points_in_polygon(_odd_points(spark, d), POLYGON).select(F.col("point_id").alias("id"))
+
+
 @_add("grid_to_points", f"""WITH {CELLS}, {CENTRES}, {ODD_POINTS} SELECT point_id, round(value, 6) AS value FROM (SELECT p.id AS point_id, c.value, row_number() OVER (PARTITION BY p.id ORDER BY (p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y), c.id) AS k FROM p, c) WHERE k = 1""")
 def _(spark, d):
     return nearest.grid_to_points(_cells(spark, d), FLAT, _odd_points(spark, d)).select("point_id", _r(F.col("value"), 6).alias("value"))

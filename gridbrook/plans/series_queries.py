@@ -269,7 +269,7 @@ def _(spark, d):
 
 # calibration
 
-LINE = "SELECT round(sqrt(avg(power(y - (regr.a + regr.b * x), 2))), 3) AS cost FROM (SELECT l_extendedprice / 1e4 AS y, l_quantity / 10 AS x FROM lineitem), (SELECT regr_intercept(l_extendedprice / 1e4, l_quantity / 10) AS a, regr_slope(l_extendedprice / 1e4, l_quantity / 10) AS b FROM lineitem) regr"
+LINE = "SELECT round(sqrt(avg(power(y - (regr.a + regr.b * x), 2))), 2) AS cost FROM (SELECT l_extendedprice / 1e4 AS y, l_quantity / 10 AS x FROM lineitem), (SELECT regr_intercept(l_extendedprice / 1e4, l_quantity / 10) AS a, regr_slope(l_extendedprice / 1e4, l_quantity / 10) AS b FROM lineitem) regr"
 
 
 def _line(spark, d):
@@ -288,8 +288,8 @@ for _name, _search in SEARCHES.items():
 
     @_add(f"calibrate_{_name}", LINE)
     def _(spark, d, search=_search):
-        """The least root mean square error of a straight line, which the search must reach to three digits."""
-        return spark.createDataFrame([(round(float(search(_line(spark, d))[1]), 3),)], "cost double")
+        """The least root mean square error of a straight line, which the search must reach to two decimals."""
+        return spark.createDataFrame([(round(float(search(_line(spark, d))[1]), 2),)], "cost double")
 
 
 @_add("calibrate_mcmc", "SELECT round(regr_slope(l_extendedprice / 1e4, l_quantity / 10), 1) + 0.0 AS slope, true AS agree FROM lineitem")
