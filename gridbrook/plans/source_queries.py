@@ -73,9 +73,9 @@ def _(spark, d):
     return cells.select("i", "j", _r(F.col("value"), 3).alias("value"))
 
 
-@_add("grid_dataset_read", f"WITH {STEPS} SELECT t_idx, s.ts, i, j, layer, q FROM s JOIN a USING (ts) WHERE ts = TIMESTAMP '1995-06-15'")
+@_add("grid_dataset_read", f"WITH {STEPS} SELECT t_idx, s.ts, i, j, layer, q FROM s JOIN a USING (ts) WHERE ts = (SELECT min(ts) FROM s WHERE ts >= TIMESTAMP '1995-06-14 18:00:00')")
 def _(spark, d):
-    return _dataset(spark, d).read("1995-06-15 00:00:00").select("t_idx", "ts", "i", "j", "layer", "q")
+    return _dataset(spark, d).read("1995-06-14 18:00:00").select("t_idx", "ts", "i", "j", "layer", "q")
 
 
 @_add("grid_dataset_chunk", f"WITH {STEPS} SELECT t_idx, s.ts, lower, i, j, layer, q, tax FROM s JOIN a USING (ts) WHERE ts > TIMESTAMP '1995-06-01' AND ts <= TIMESTAMP '1995-07-01'")
@@ -106,7 +106,7 @@ def _(spark, d):
     return spark.createDataFrame([(data.time_index("1995-06-15 10:00:00"), n, meta, data.var_index("q"))], "t_idx int, n long, meta string, place int")
 
 
-@_add("grid_dataset_packed", f"WITH {STEPS}, g AS (SELECT * FROM s WHERE ts = TIMESTAMP '1995-06-15' AND layer = 1) SELECT 'packed' AS kind, row_number() OVER (ORDER BY j, i) AS place, q AS value FROM g UNION ALL SELECT 'matrix', (j - 1) * 4 + i, q FROM range(1, 5) x(i) CROSS JOIN range(1, 4) y(j) LEFT JOIN g USING (i, j)")
+@_add("grid_dataset_packed", f"WITH {STEPS}, g AS (SELECT * FROM s WHERE layer = 1 AND ts = (SELECT min(ts) FROM s WHERE ts >= TIMESTAMP '1995-06-15' AND layer = 1)) SELECT 'packed' AS kind, row_number() OVER (ORDER BY j, i) AS place, q AS value FROM g UNION ALL SELECT 'matrix', (j - 1) * 4 + i, q FROM range(1, 5) x(i) CROSS JOIN range(1, 4) y(j) LEFT JOIN g USING (i, j)")
 def _(spark, d):
     data, spec = _dataset(spark, d, where="layer = 1"), grid.GridSpec(4, 3)
     packed = data.read_packed("1995-06-15 00:00:00", spec, "q").select(F.lit("packed").alias("kind"), F.col("packed_id").alias("place"), "value")

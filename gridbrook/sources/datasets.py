@@ -60,10 +60,13 @@ class Dataset:
     def time_axis(self) -> DataFrame:
         return self.axis.orderBy("t_idx")
 
+    def _step(self, ts: str):
+        at = F.lit(ts).cast("timestamp_ntz")
+        return self.axis.where((F.coalesce(F.col("lower"), F.col("ts") - F.expr("interval 1 second")) < at) & (at <= F.col("ts"))).first()
+
     def time_index(self, ts: str) -> int | None:
         """Number of the step that holds the time: lower < time <= end."""
-        at = F.lit(ts).cast("timestamp_ntz")
-        found = self.axis.where((F.coalesce(F.col("lower"), F.col("ts") - F.expr("interval 1 second")) < at) & (at <= F.col("ts"))).first()
+        found = self._step(ts)
         return found["t_idx"] if found else None
 
     def chunk_times(self, start: str, end: str) -> DataFrame:
@@ -78,8 +81,9 @@ class Dataset:
         return df.select(*TIME, *self.variables)
 
     def read(self, ts: str) -> DataFrame:
-        """Rows of the step that ends at a time."""
-        at = F.lit(ts).cast("timestamp_ntz")
+        """Rows of the step that holds a time (lower < time <= end); none where no step does."""
+        found = self._step(ts)
+        at = F.lit(found["ts"] if found else None).cast("timestamp_ntz")
         rows = self.values.where(F.col("ts") == at)
         return self._plain(rows.where(F.col("period").between(F.to_date(F.date_trunc("month", at)), F.to_date(at))) if self._by_time else rows)
 

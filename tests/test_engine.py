@@ -396,6 +396,14 @@ def test_eckhardt_fit_all_low_days(spark):
     assert days > 1 and abs(fit.alpha - places[cost(places[:, None]).argmin()]) < 1e-3
 
 
+def test_command_line(spark, tmp_path, capsys):
+    from gridbrook.__main__ import main
+
+    assert main(["--list", "up_*_mean"]) == 0 and capsys.readouterr().out.split()[:2] == ["up_a_mean", "sql"]
+    assert main(["no_such", "x", "-q"]) == 2 and main(["up_sum", "-q"]) == 2
+    assert main(["up_sum", DATA, "--output", str(tmp_path / "o"), "-q"]) == 0 and spark.read.parquet(str(tmp_path / "o")).count() == 48
+
+
 def test_absent_subpackage():
     import __spark_entry__ as entry
 
