@@ -69,6 +69,8 @@ WORD = r"[^\p{L}\p{N}.+-]+|\.(?=\s|$)"
 SPDX = r"(?i:SPDX-License-Identifier):[^\S\n]*\(?([A-Za-z0-9.+-]+(?:[^\S\n]+(?:AND|OR|WITH)[^\S\n]+[A-Za-z0-9.+-]+)*)"
 FILE_NAME = r"(?i)(?:^|/)(?:(?:un)?licen[cs]es?|copying)(?:[._-][^/]*)?$"
 LEAST = 0.8
+#: Directories with a licence that are broadcast (some 100 bytes each); more are joined by a shuffle.
+MOST_DIRS = 100_000
 OUT = ["doc_id", "path", "licence", "score", "found_in"]
 
 
@@ -160,9 +162,10 @@ def scan(docs: DataFrame, path, templates: list[tuple[str, str]] | None = None,
     dirs = marked.where("b is null and path is not null").select(F.expr(up).alias("dir")).distinct()
     levels = F.transform(F.sequence(F.lit(0), F.size(F.split("dir", "/"))), lambda k: F.array_join(F.slice(F.split("dir", "/"), 1, k), "/"))
     reached = dirs.select("dir", F.explode(F.array_distinct(levels)).alias("above")).join(files, "above")
-    given = reached.groupBy("dir").agg(F.max_by("a", F.length("above")).alias("a"))
+    given = save(reached.groupBy("dir").agg(F.max_by("a", F.length("above")).alias("a")), "given")
+    few = given.limit(MOST_DIRS + 1).count() <= MOST_DIRS
     # only rows that may inherit are joined, so that those with a licence or without a path don't meet in one task
-    heirs = marked.where("b is null and path is not null").withColumn("dir", F.expr(up)).join(given, "dir", "left").drop("dir")
+    heirs = marked.where("b is null and path is not null").withColumn("dir", F.expr(up)).join(F.broadcast(given) if few else given, "dir", "left").drop("dir")
     rest = marked.where("b is not null or path is null")
     out = heirs.unionByName(rest.withColumn("a", F.lit(None).cast(heirs.schema["a"].dataType)))
     kind = F.when(F.col("b.file"), "file").when(F.col("b").isNotNull(), "header").when(F.col("a").isNotNull(), "directory")
