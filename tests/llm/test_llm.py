@@ -406,7 +406,10 @@ def test_quality_equals_brute_force(spark):
         assert np.allclose(model.views[v].table, views[v].table) and np.allclose(model.lines[v], quality._calibrated(hist[v]))
 
 
-def test_decontamination(spark, docs, odd):
+@pytest.mark.parametrize("words", [200_000, 0])  # 0: joined instead of broadcast
+def test_decontamination(spark, docs, odd, words, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", words)
+    monkeypatch.setattr(decontam, "BITS", 20)
     bench = spark.createDataFrame([(1, " ".join(f"b{k}" for k in range(30))), (2, "x y z"), (3, None), (4, "p1 p2 p3 p4 p5 p6"), (4, "p1 p2 p3 p4 p5 p6")], "item_id long, text string")
     noise = [f"n{k}" for k in range(50)]
     item = [f"b{k}" for k in range(30)]
@@ -424,8 +427,11 @@ def test_decontamination(spark, docs, odd):
     assert want <= {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, spark.read.parquet(f"{DATA}/benchmark.parquet")).collect()}
 
 
-def test_decontamination_odd_rows(spark, odd):
+@pytest.mark.parametrize("words", [200_000, 0])
+def test_decontamination_odd_rows(spark, odd, words, monkeypatch):
     """Repeated rows give repeated results, rows without an id none, clashing columns stay, and texts of one word over and over are whole."""
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", words)
+    monkeypatch.setattr(decontam, "BITS", 20)
     bench = spark.createDataFrame([(1, "again " * 20), (2, "one two three four five six"), (None, "one two three four five six"), (3, "")], "item_id long, text string")
     long = "again " * 20000
     df = spark.createDataFrame([(1, long, "a"), (2, "x " * 500 + "one two three four five SIX", "b"), (2, "x " * 500 + "one two three four five SIX", "b"), (None, long, "c"), (4, None, "d"), (5, "one two", "e")], "doc_id long, text string, item_id string")
@@ -448,7 +454,7 @@ def test_decontamination_masks(n):
     assert all(x and x[0][2:] == (n, 2) for x in found[:near]) and not any(found[near:])
 
 
-def test_decontamination_equals_brute_force(monkeypatch):
+def test_decontamination_equals_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(3)
     items = [(i, [f"v{w}" for w in rng.integers(0, 40, n)]) for i, n in enumerate([5, 6, 9, 10, 11, 12, 13, 20, 40, 60] * 3)]
     texts = [[f"v{w}" for w in rng.integers(0, 40, n)] for n in rng.integers(0, 90, 150)]
@@ -474,6 +480,11 @@ def test_decontamination_equals_brute_force(monkeypatch):
     index = decontam.Index([(i, " ".join(w)) for i, w in items])
     assert index.find([decontam._hashes(" ".join(t), near_dup._Hashes()) for t in texts]) == want
     assert want[-1] and sum(map(len, want)) > 50
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", 0)
+    monkeypatch.setattr(decontam, "BITS", 16)
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    joined = decontam.contaminated(docs, spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string"))
+    assert sorted(map(tuple, joined.collect())) == sorted((k, *x) for k, xs in enumerate(want) for x in xs)
 
 
 def test_shards(spark, docs, odd):
