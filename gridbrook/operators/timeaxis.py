@@ -89,15 +89,16 @@ def resample_instants(source: DataFrame, target: DataFrame, by: list[str], metho
     keys = by if bucket is None else [*by, "__b"]
     if bucket is not None:
         rows = rows.withColumn("__b", F.floor(F.col("at") / bucket).cast("long"))
+    if bucket is not None:  # what lies before and behind a bucket is put into it as two more rows
+        ends = rows.groupBy(*keys).agg(F.min("__s").alias("lo"), F.max("__s").alias("hi"))
+        up = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+        down = Window.partitionBy(*by).orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
+        beside = ends.select(*keys, F.last("hi", True).over(up).alias("p"), F.last("lo", True).over(down).alias("n"))
+        carried = beside.select(*keys, F.explode(F.array("p", "n")).alias("__s")).where("__s is not null")
+        rows = rows.unionByName(carried.select(*by, F.col("__s.a").alias("at"), F.lit(0).alias("__k"), "__s", "__b"))
     back = Window.partitionBy(*keys).orderBy("at", "__k").rowsBetween(Window.unboundedPreceding, 0)
     ahead = Window.partitionBy(*keys).orderBy(F.desc("at"), "__k").rowsBetween(Window.unboundedPreceding, 0)
     found = rows.withColumn("__p", F.last("__s", True).over(back)).withColumn("__n", F.last("__s", True).over(ahead)).where("__k = 1")
-    if bucket is not None:
-        ends = rows.groupBy(*keys).agg(F.min("__s").alias("__lo"), F.max("__s").alias("__hi"))
-        up = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-        down = Window.partitionBy(*by).orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
-        ends = ends.withColumn("__before", F.last("__hi", True).over(up)).withColumn("__after", F.last("__lo", True).over(down)).drop("__lo", "__hi")
-        found = join_by(found, ends, keys).withColumn("__p", F.coalesce("__p", "__before")).withColumn("__n", F.coalesce("__n", "__after"))
     p, n, at = F.col("__p"), F.col("__n"), F.col("at")
     if method == "previous":
         value = p["v"]
