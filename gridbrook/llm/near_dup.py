@@ -213,13 +213,15 @@ def _grouped(docs: DataFrame, shingle_words: int, percent: int) -> tuple[DataFra
         best = [F.expr(f"min(struct(xxhash64(node, {r * LEADERS + s}) as h, node, c))").alias(f"l{s}") for s in range(LEADERS)]
         told = now.groupBy("j", "k").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), *best).where("c0 <> c1")
         some = f"array_distinct(transform(array({', '.join(f'l{s}' for s in range(LEADERS))}), x -> struct(x.node, x.c)))"
-        leaders = told.select("j", "k", F.explode(F.expr(some)).alias("x")).select("j", "k", F.col("x.node").alias("a"), F.col("x.c").alias("ca"))
+        # written first, so that the join has plain inputs and a crowded key's members can be split between tasks
+        leaders = save(told.select("j", "k", F.explode(F.expr(some)).alias("x")).select("j", "k", F.col("x.node").alias("a"), F.col("x.c").alias("ca")), "leaders")
         pairs = leaders.join(now, ["j", "k"]).where("ca <> c").select("a", F.col("node").alias("b")).distinct()
         links, labels, new = _linked(_close(pairs, nodes, percent), texts, links, labels, shingle_words, percent)
+        drop(leaders)
         if not new:
             break
     now = _labelled(members, labels)
-    mixed = now.groupBy("j", "k").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("g")).where("c0 <> c1").select("j", "k", "g")
+    mixed = save(now.groupBy("j", "k").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("g")).where("c0 <> c1").select("j", "k", "g"), "mixed")
     own = F.element_at(F.array(*SIG[:CHUNKS]), F.expr(f"cast(j div {WIDTH} + 1 as int)"))
     rest = save(now.join(mixed, ["j", "k"]), "rest")
     crowd = save(rest.where(F.col("g") > CROWD).select("node").distinct(), "crowd")
@@ -241,7 +243,7 @@ def _grouped(docs: DataFrame, shingle_words: int, percent: int) -> tuple[DataFra
     else:
         found = found.withColumn("least", F.col("group"))
     out = rows.select("doc_id", "n", *keys).join(found.select(*keys, "group", "least"), keys, "left")
-    drop(members, ends, texts, links, rest, crowd, read, rare)
+    drop(members, mixed, ends, texts, links, rest, crowd, read, rare)
     return out, repeats
 
 
