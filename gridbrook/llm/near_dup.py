@@ -159,7 +159,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     # the pairs of a leader are dealt out to parts of bounded size, each with a copy of its text
-    parts = pairs.where(_ANY.format("a")).groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    parts = save(pairs.where(_ANY.format("a")).groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")), "parts")
     some = parts.where("parts > 1")
     told = pairs.where(_ANY.format("a") + " and " + _ANY.format("b")).join(some, "a", "left").selectExpr("a", "b", "cast(if(parts > 1, pmod(xxhash64(b), parts), 0) as int) part")
     held = texts.select(F.col("node").alias("b"), F.col("text").alias("tb")).join(told, "b")
