@@ -404,6 +404,19 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["up_sum", DATA, "--output", str(tmp_path / "o"), "-q"]) == 0 and spark.read.parquet(str(tmp_path / "o")).count() == 48
 
 
+def test_roots_of_many_rows(spark):
+    import time
+
+    c = F.array(-F.col("id").cast("double"), F.lit(0.0), F.lit(1.0))
+    one = [sc.root(c, F.col("id").cast("double"), steps=5000, method=m) for m in ("newton", "halley", "cubic")]
+    start = time.time()
+    far = spark.range(1, 2001).select("id", *(x.alias(k) for k, x in zip("abc", one))).agg(*(F.max(F.abs(F.col(k) - F.sqrt("id"))) for k in "abc")).first()
+    assert max(far) < 1e-9 and time.time() - start < 30
+    rows = spark.createDataFrame([([1.0, 1.0, 1.0], 0.0), ([None, 1.0], 2.0), (None, 2.0), ([-1.0, 1.0], None), ([], 1.5)], "c array<double>, x double")
+    assert [r[0] for r in rows.select(sc.root(F.col("c"), F.col("x"), method="halley")).collect()] == [0.0, 2.0, 2.0, None, 1.5]
+    assert [r[0] for r in rows.select(sc.root(F.col("c"), F.col("x"), method="halley", delta=1e-9)).collect()] == [None, None, None, None, 1.5]
+
+
 def test_absent_subpackage():
     import __spark_entry__ as entry
 
