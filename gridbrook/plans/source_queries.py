@@ -41,9 +41,7 @@ def _file(spark, name: str) -> str:
 def _(spark, d):
     path = _file(spark, "matrix")
     files.write_text(_t(spark, d, "part").select("p_partkey", F.array(F.col("p_size").cast("double"), "p_retailprice").alias("v")), "p_partkey", "v", path)
-    one = f"{path}-one"
-    spark.read.text(path).coalesce(1).write.text(one)
-    return files.load_text(spark, one).select("row", F.col("v")[0].alias("a"), F.col("v")[1].alias("b"))
+    return files.load_text(spark, path).select("row", F.col("v")[0].alias("a"), F.col("v")[1].alias("b"))
 
 
 @_add("text_shape", "SELECT count(*) AS n, 2 AS width FROM part")

@@ -10,6 +10,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.window import Window
 
 from gridbrook.operators.grid import GridSpec
+from gridbrook.operators.tables import save
 
 HEADER = ("ncols", "nrows", "xllcorner", "yllcorner", "cellsize", "nodata_value")
 
@@ -107,17 +108,18 @@ def write_ascii_grid(cells: DataFrame, spec: GridSpec, path: str, missing: float
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value): the lines of one file that aren't blank, numbered from 1.
+    """(line, value): the lines of a file, or of a folder's files in the order of their names, that aren't blank, numbered from 1.
 
-    Blocks of the file are read in parallel; each one's lines are counted, and the counts (a row a block) give the
-    number of its first line.
+    Blocks are read in parallel and saved once with the places of their lines; each one's lines are counted, and the
+    counts (a row a block) give the number of its first line.
     """
-    at = F.col("_metadata.file_block_start")
-    lines = spark.read.text(path).select(at.alias("block"), F.monotonically_increasing_id().alias("id"), "value").where(F.trim("value") != "")
-    counts = lines.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
-    starts = counts.select("block", "first", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy("block").orderBy("id"))
-    return lines.withColumn("k", within).join(F.broadcast(starts), "block").select((F.col("before") + F.col("k")).alias("line"), "value")
+    block = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    # a block is read from start to end by one task, so its lines have consecutive ids
+    lines = save(spark.read.text(path).where(F.trim("value") != "").select(*block, F.monotonically_increasing_id().alias("id"), "value"), "lines")
+    counts = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    before = F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("file", "block", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    return lines.join(F.broadcast(starts), ["file", "block"]).select((F.col("before") + F.col("id") - F.col("first") + 1).alias("line"), "value")
 
 
 def load_text(spark: SparkSession, path: str, skip: int = 0, rows: int | None = None) -> DataFrame:

@@ -417,6 +417,24 @@ def test_roots_of_many_rows(spark):
     assert [r[0] for r in rows.select(sc.root(F.col("c"), F.col("x"), method="halley", delta=1e-9)).collect()] == [None, None, None, None, 1.5]
 
 
+def test_text_matrix_in_parts(spark, tmp_path):
+    """Later parts are larger files and have several blocks; rows keep the order that they were written in."""
+    rows = spark.range(0, 3000).select("id", F.array(F.col("id").cast("double"), F.pow(F.lit(10.0), F.col("id") / 10)).alias("v"))
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.files.maxPartitionBytes")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+        files.write_text(rows, "id", "v", str(tmp_path / "m"))
+        assert len(list((tmp_path / "m").glob("part-*"))) > 1
+        assert [(r.row, r.v[0]) for r in files.load_text(spark, str(tmp_path / "m")).orderBy("row").collect()] == [(k + 1, k) for k in range(3000)]
+        path = str(tmp_path / "lines.txt")
+        open(path, "w").write("".join(f"{k}\n" + "\n" * (k % 3) for k in range(5000)))
+        assert [r.v[0] for r in files.load_text(spark, path, skip=10).orderBy("row").collect()] == list(range(10, 5000))
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
 def test_absent_subpackage():
     import __spark_entry__ as entry
 
