@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from gridbrook.functions.statistics import percentiles
 from gridbrook.operators.calibrate import nelder_mead
-from gridbrook.operators.tables import join_by, save
+from gridbrook.operators.tables import join_by, placed
 
 #: Rows of a series that are folded as one array.
 FOLD = 64
@@ -252,8 +252,9 @@ def kernel_regression(df: DataFrame, xs: list[str], y: str, bandwidths: list[flo
 # ranks and top-k
 
 def rank_index(df: DataFrame, by: list[str], x: str, at: str, descending: bool = False, to: str = "rank") -> DataFrame:
-    """Stable place of each row in the order of ``x``, from 1."""
-    return df.withColumn(to, F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(x) if descending else F.asc(x), at)))
+    """Stable place of each row in the order of ``x``, from 1; a large group is ordered by many tasks."""
+    out = placed(df, by, [F.desc(x) if descending else F.asc(x), F.asc(at)], to)
+    return out.withColumn(to, F.col(to).cast("int"))
 
 
 def top(df: DataFrame, x: str, k: int, at: str, descending: bool = False) -> DataFrame:
@@ -322,14 +323,8 @@ def ordered(df: DataFrame, x: str, at: str, descending: bool = False) -> DataFra
 
 
 def with_place(df: DataFrame, x: str, at: str, to: str = "place") -> DataFrame:
-    """Place of each row in the order of (``x``, ``at``) of the whole table, from 1.
-
-    Rows are range-partitioned and sorted; the partitions' counts (few) give each its first place.
-    """
-    own = save(df.repartitionByRange(x, at).sortWithinPartitions(x, at).withColumn("__p", F.spark_partition_id()).withColumn("__k", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "ordered")
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = own.groupBy("__p").agg(F.count(F.lit(1)).alias("__n")).select("__p", before.alias("__first"))
-    return own.join(F.broadcast(starts), "__p").withColumn(to, F.col("__first") + F.col("__k") + 1).drop("__p", "__k", "__first")
+    """Place of each row in the order of (``x``, ``at``) of the whole table, from 1."""
+    return placed(df, [], [F.asc(x), F.asc(at)], to)
 
 
 def distinct_ranked(df: DataFrame, by: list[str], x: str, at: str, most: int | None = None) -> DataFrame:

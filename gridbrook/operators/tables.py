@@ -6,8 +6,9 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,3 +54,32 @@ def join_by(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner"
     names = {c: f"__r_{c}" for c in by}
     other = right.select(*(F.col(c).alias(n) for c, n in names.items()), *(c for c in right.columns if c not in names))
     return left.join(other, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(n)) for c, n in names.items())), how).drop(*names.values())
+
+
+def placed(df: DataFrame, by: list[str], order: list[Column], to: str) -> DataFrame:
+    """``df`` with the place of each row in the order of its group, from 1; groups of any length.
+
+    Rows are range-partitioned, sorted and saved, so a group's rows in a partition have consecutive ids; the counts of
+    the groups' parts (a row a group and one a partition more, at most) give each part its first place.
+    """
+    own = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    own = save(own.withColumn("__p", F.spark_partition_id()).withColumn("__k", F.monotonically_increasing_id()), "ordered")
+    parts = own.groupBy(*by, "__p").agg(F.count(F.lit(1)).alias("__n"), F.min("__k").alias("__first"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # saved, so that its size is known to the join
+    parts = save(parts.select(*by, "__p", (before - F.col("__first") + 1).alias("__add")), "parts")
+    return join_by(own, parts, [*by, "__p"]).withColumn(to, F.col("__k") + F.col("__add")).drop("__p", "__k", "__add")
+
+
+def running_sum(df: DataFrame, by: list[str], order: str, x: str, to: str) -> DataFrame:
+    """``df`` with the sum of ``x`` up to each row in the order of its group; groups of any length, ``order`` distinct within them.
+
+    Rows are range-partitioned and saved; a group's part in a partition is summed by itself and gets the sum of the
+    parts before it.
+    """
+    own = save(df.repartitionByRange(*by, order).withColumn("__p", F.spark_partition_id()), "ranges")
+    parts = own.groupBy(*by, "__p").agg(F.sum(x).alias("__s"))
+    before = F.coalesce(F.sum("__s").over(Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = save(parts.select(*by, "__p", before.alias("__add")), "parts")
+    inside = F.sum(x).over(Window.partitionBy(*by, "__p").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return join_by(own.withColumn(to, inside), parts, [*by, "__p"]).withColumn(to, F.col(to) + F.col("__add")).drop("__p", "__add")

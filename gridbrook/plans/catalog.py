@@ -415,7 +415,7 @@ def _(spark, d):
 
 @_add("rank_index", "SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity, l_orderkey * 10 + l_linenumber)::INTEGER AS rank FROM lineitem")
 def _(spark, d):
-    rows = _t(spark, d, "lineitem").withColumn("at", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    rows = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"))
     return sequence.rank_index(rows, ["l_returnflag"], "l_quantity", "at").select("l_orderkey", "l_linenumber", "rank")
 
 

@@ -435,6 +435,44 @@ def test_text_matrix_in_parts(spark, tmp_path):
             spark.conf.set(k, v)
 
 
+def _most_rows_of_a_task(spark, run):
+    """The most rows that one task read from a shuffle while ``run`` ran."""
+    jvm, store = spark._jvm, spark.sparkContext._jsc.sc().statusStore()
+    stage_list = lambda: store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    before = stage_list().apply(0).stageId() if stage_list().size() else -1
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    stages, out = stage_list(), 0
+    for k in range(stages.size()):
+        stage = stages.apply(k)
+        if stage.stageId() <= before:
+            continue
+        tasks = store.taskList(stage.stageId(), stage.attemptId(), 100000)
+        for i in range(tasks.size()):
+            found = tasks.apply(i).taskMetrics()
+            if found.isDefined():
+                out = max(out, found.get().shuffleReadMetrics().recordsRead())
+    return out
+
+
+def test_rank_index_of_a_large_group(spark):
+    """One group is ordered by several tasks; nulls, descending order and null groups keep their places."""
+    rows = spark.range(40000, numPartitions=8).select(F.when(F.col("id") >= 100, F.lit("a")).alias("g"), (F.col("id") * 7919 % 40000 % 5).alias("x"), (F.col("id") * 7919 % 40000).alias("at"))
+    rows = rows.withColumn("x", F.when(F.col("x") != 3, F.col("x")))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for down in (False, True):
+            found = []
+            assert _most_rows_of_a_task(spark, lambda: found.extend(sequence.rank_index(rows, ["g"], "x", "at", down).collect())) < 20000
+            place: dict = {}
+            for r in sorted(found, key=lambda r: ((r.x is None) == down, (-r.x if down else r.x) if r.x is not None else 0, r["at"])):
+                place[r.g] = place.get(r.g, 0) + 1
+                assert r["rank"] == place[r.g]
+            assert place == {"a": 39900, None: 100}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_absent_subpackage():
     import __spark_entry__ as entry
 
