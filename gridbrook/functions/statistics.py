@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridbrook.operators.tables import join_by
+from gridbrook.operators.tables import join_by, running_sum, save
 
 
 def masked(x: Column, mask: Column) -> Column:
@@ -189,15 +189,37 @@ def average_rank(df: DataFrame, by: list[str], x: str, to: str) -> DataFrame:
 def _steps(rows: DataFrame, by: list[str], c: str) -> DataFrame:
     """(by, value, first and last place) of each distinct value: a sorted series of counts."""
     counts = rows.groupBy(*by, F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    last = F.sum("n").over(Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    return counts.withColumn("last", last).withColumn("first", F.col("last") - F.col("n") + 1)
+    # read twice, and few values' ranks are broadcast to the rows
+    return save(running_sum(counts, by, "v", "n", "last").withColumn("first", F.col("last") - F.col("n") + 1), "steps")
+
+
+#: Places of a sorted series that one task walks along.
+STRETCH = 1 << 18
+
+
+def _runs(ends: DataFrame, by: list[str]) -> DataFrame:
+    """(by, last, x, y, k): the stretches of places on which both sorted series are constant, out of their run ends.
+
+    The value of the run that holds a place is that of the next end.  A series is cut into stretches of STRETCH places;
+    each one gets the first values known behind it and the last end before it.
+    """
+    cut = ends.withColumn("__b", F.floor((F.col("last") - 1) / STRETCH))
+    known = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("last")))
+    heads = cut.groupBy(*by, "__b").agg(known("x").alias("__x"), known("y").alias("__y"), F.max("last").alias("__to"))
+    behind = Window.partitionBy(*by).orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
+    beside = heads.select(*by, "__b", *(F.last(c, True).over(behind).alias(c) for c in ("__x", "__y")), F.lead("__to").over(Window.partitionBy(*by).orderBy(F.desc("__b"))).alias("__from"))
+    inside = Window.partitionBy(*by, "__b").orderBy(F.desc("last"))
+    back = inside.rowsBetween(Window.unboundedPreceding, 0)
+    own = cut.select(*by, "__b", "last", *(F.last(c, True).over(back).alias(c) for c in ("x", "y")), F.lead("last").over(inside).alias("__before"))
+    value = lambda c: F.coalesce(c, f"__{c}").alias(c)
+    return join_by(own, beside, [*by, "__b"]).select(*by, "last", value("x"), value("y"), (F.col("last") - F.coalesce("__before", "__from", F.lit(0))).alias("k"))
 
 
 def kge_np(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """Non-parametric KGE: rank correlation and the distance of the sorted, scaled series.
 
     Values are counted first.  Ranks come from the counts, and the two sorted series are read as runs of equal values:
-    between two neighbouring run ends of either series both are constant.
+    between two neighbouring run ends of either series both are constant.  A large group is shared by many tasks.
     """
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("x"), F.col(y).alias("y"))
     sx, sy = _steps(rows, by, "x"), _steps(rows, by, "y")
@@ -206,11 +228,7 @@ def kge_np(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     head = ranked.groupBy(*by).agg(F.corr("rx", "ry").alias("r"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.count(F.lit(1)).alias("n"))
     ends = sx.select(*by, "last", F.col("v").alias("x"), F.lit(None).cast("double").alias("y")).unionByName(sy.select(*by, "last", F.lit(None).cast("double").alias("x"), F.col("v").alias("y")))
     ends = ends.groupBy(*by, "last").agg(F.max("x").alias("x"), F.max("y").alias("y"))
-    # the value of the run that holds a place is that of the next end
-    back = Window.partitionBy(*by).orderBy(F.desc("last")).rowsBetween(Window.unboundedPreceding, 0)
-    runs = ends.withColumn("x", F.last("x", True).over(back)).withColumn("y", F.last("y", True).over(back))
-    runs = runs.withColumn("k", F.col("last") - F.coalesce(F.lead("last").over(Window.partitionBy(*by).orderBy(F.desc("last"))), F.lit(0)))
-    joined = join_by(runs, head, by)
+    joined = join_by(_runs(ends, by), head, by)
     alpha = joined.groupBy(*by, "r", "mx", "my").agg((1 - 0.5 * F.sum(F.col("k") * F.abs(F.col("y") / (F.col("n") * F.col("my")) - F.col("x") / (F.col("n") * F.col("mx"))))).alias("a"))
     return alpha.select(*by, (1 - F.sqrt(F.pow(1 - F.col("a"), 2) + F.pow(1 - F.col("my") / F.col("mx"), 2) + F.pow(1 - F.col("r"), 2))).alias("kge_np"))
 

@@ -4,6 +4,7 @@ import math
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -473,6 +474,23 @@ def test_rank_index_of_a_large_group(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_kge_np_of_a_large_group(spark, monkeypatch):
+    """One group's values are ranked and walked along by several tasks, with the result of whole sorted series."""
+    monkeypatch.setattr(st, "STRETCH", 3000)
+    rng = np.random.default_rng(3)
+    x, y = rng.permutation(40000) + 1.0, np.where(rng.random(40000) < 0.5, 500.0, np.round(rng.gamma(2.0, 300.0, 40000)) + 1)
+    rows = spark.createDataFrame(pd.DataFrame({"x": x, "y": y}))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = []
+        assert _most_rows_of_a_task(spark, lambda: found.extend(st.kge_np(rows, [], "x", "y").collect())) < 35000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    r = np.corrcoef(pd.Series(x).rank(), pd.Series(y).rank())[0, 1]
+    a = 1 - 0.5 * np.abs(np.sort(y) / y.sum() - np.sort(x) / x.sum()).sum()
+    assert found[0][0] == pytest.approx(1 - math.sqrt((1 - a) ** 2 + (1 - y.mean() / x.mean()) ** 2 + (1 - r) ** 2), abs=1e-9)
+
+
 def test_absent_subpackage():
     import __spark_entry__ as entry
 
