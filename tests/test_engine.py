@@ -491,6 +491,28 @@ def test_kge_np_of_a_large_group(spark, monkeypatch):
     assert found[0][0] == pytest.approx(1 - math.sqrt((1 - a) ** 2 + (1 - y.mean() / x.mean()) ** 2 + (1 - r) ** 2), abs=1e-9)
 
 
+def test_registered_aggregates(spark):
+    """Partial aggregates: no task reads a whole group; odd groups give what the functions of series give."""
+    from gridbrook.functions import registry
+
+    registry.register_all(spark)
+    nan, inf = math.nan, math.inf
+    rows = [("a", 1.0, 2.0), ("a", 2.0, 2.5), ("a", 4.0, 3.0), ("a", None, 3.0), ("a", nan, 1.0), ("one", 1.0, 2.0), ("flat", 1.0, 2.0), ("flat", 1.0, 3.0), ("level", 1.0, 2.0), ("level", 3.0, 2.0), ("zero", -1.0, 2.0), ("zero", 1.0, 3.0), ("none", None, 1.0), ("both", -1.0, 2.0), ("both", 1.0, -2.0)]
+    spark.createDataFrame(rows, "g string, x double, y double").createOrReplaceTempView("odd_pairs")
+    want = {"a": (0.323305, 0.517857), "flat": (nan, nan), "level": (nan, 0.0), "none": (nan, nan), "one": (nan, nan), "zero": (-inf, -5.5), "both": (nan, -8.0)}
+    for r in spark.sql("select g, round(kge(x, y), 6) k, round(nse(x, y), 6) n from odd_pairs group by g having count(*) > 0 order by g").collect():
+        assert (r.k, r.n) == pytest.approx(want[r.g], nan_ok=True)
+        assert (registry._kge_series(*_series(rows, r.g)), registry._nse_series(*_series(rows, r.g))) == pytest.approx(want[r.g], nan_ok=True, abs=1e-6)
+    assert spark.sql("select nse_window(x, y) over (partition by g) n from odd_pairs where g = 'a'").first().n == pytest.approx(0.517857, abs=1e-6)
+    spark.range(40000, numPartitions=8).selectExpr("double(id) x", "double(id % 100) y").createOrReplaceTempView("one_group")
+    assert _most_rows_of_a_task(spark, lambda: spark.sql("select kge(x, y), nse(x, y) from one_group").collect()) < 100
+
+
+def _series(rows, g):
+    own = pd.DataFrame([r for r in rows if r[0] == g], columns=["g", "x", "y"]).astype({"x": float, "y": float})
+    return own.x, own.y
+
+
 def test_absent_subpackage():
     import __spark_entry__ as entry
 
